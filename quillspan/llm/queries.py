@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quotes, secrets, sharding
 
 QUERIES = {
+    "op2_quote_link": quotes.op2_quote_link,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_shard": sharding.op10_shard,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
