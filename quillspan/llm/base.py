@@ -69,3 +69,15 @@ def u52(*parts: Column) -> Column:
     """A fraction in [0, 1) with 52 bits from md5, the same in other SQL engines."""
     digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+
+
+#: Rows that go to Python at once. Texts may be very long: few rows bound a batch's memory.
+ROWS_PER_BATCH = 400
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS_PER_BATCH rows at most, for this session's later queries too; a smaller setting is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    told = int(spark.conf.get(name, "10000"))
+    if told <= 0 or told > ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))

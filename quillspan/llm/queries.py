@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quotes, secrets, sharding
+from . import decontaminate, line_dedup, mixing, quotes, secrets, sharding
 
 QUERIES = {
     "op2_quote_link": quotes.op2_quote_link,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_shard": sharding.op10_shard,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
 }
