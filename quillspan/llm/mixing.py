@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, u52
+from .base import settle, table, u52
 
 SEED = "mix-1"
 #: Target weight of a source: its number of documents to this power (1: as found; 0: all sources alike).
 TEMPERATURE = 0.5
+BROADCAST_ROWS = 20_000
 
 
 def source_rates(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None, source_col: str = "source") -> DataFrame:
@@ -51,8 +52,11 @@ def poisson_inverse(rate: Column, u: Column) -> Column:
 def poisson_mix(docs: DataFrame, rates: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Rows of ``docs``, each as often as drawn, with ``_copy`` (from 0) and ``_order`` (the global shuffle's key).
 
-    The rates are a row per source and joined by size: Spark broadcasts them under its threshold, else it sorts and
-    splits a hot source. Rows are dealt by the hash key, so no source gathers in one task."""
+    The rates are a row per source. They are counted, and broadcast up to BROADCAST_ROWS; beyond that they are joined by
+    sorting, where AQE can split a hot source. Rows are dealt by the hash key, so no source gathers in one task."""
+    rates = settle(rates)
+    if rates.count() <= BROADCAST_ROWS:
+        rates = F.broadcast(rates)
     u = u52(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     met = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("_src")), "inner")
     drawn = met.withColumn("_count", poisson_inverse(F.col("_rate"), u)).where(F.col("_count") > 0)
