@@ -38,7 +38,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 3, min_chars: int =
     k1, k2 = fingerprint(F.col("_key"))
     lines = settle(keyed.select("_id", "_t1", "_t2", "_pos", k1.alias("_k1"), k2.alias("_k2")))
 
-    shared = (
+    shared = settle(
         lines.groupBy("_k1", "_k2", "_id").agg(F.lit(1).alias("_one"))
         .groupBy("_k1", "_k2").agg(F.count("*").alias("_docs"), F.max("_id").alias("_last"))
         .where(F.col("_docs") >= min_docs).select("_k1", "_k2", "_last")
