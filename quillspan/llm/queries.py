@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quotes, secrets, sharding
+from . import decontaminate, line_dedup, mixing, quotes, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_quote_link": quotes.op2_quote_link,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
