@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quotes, secrets, sharding, toxicity
+from . import decontaminate, line_dedup, media, mixing, quotes, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_quote_link": quotes.op2_quote_link,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_media_columns": media.op8_media_columns,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_shard": sharding.op10_shard,
 }

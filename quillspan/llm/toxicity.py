@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,14 +166,15 @@ def pieces(text: bytes, chunk: int) -> Iterator[bytes]:
         if cut < 0:
             break
         yield text[start:cut]
-        back = cut
-        for _ in range(max(WIDTHS) - 1):
-            back = text.rfind(b" ", start, back)
-            while back > start and not WORDY[text[back - 1]]:  # runs of spaces and marks
-                back -= 1
-            if back <= start:
+        span = 4096
+        while True:  # back to where the last words before the cut begin
+            low = max(start, cut - span)
+            wordy = WORDY[np.frombuffer(text, np.uint8, cut - low, low)]
+            begins = np.flatnonzero(wordy[1:] & ~wordy[:-1]) + 1
+            if len(begins) >= max(WIDTHS) - 1 or low == start:
                 break
-        start = cut if back <= start else back
+            span *= 8
+        start = low + int(begins[-(max(WIDTHS) - 1)]) if len(begins) >= max(WIDTHS) - 1 else cut
     yield text[start:]
 
 
@@ -199,7 +200,7 @@ def train(texts: list[bytes], toxic: np.ndarray, *, epochs: int = EPOCHS, batch:
         acc[key] += grad * grad
         return value - rate * grad / np.sqrt(acc[key])
 
-    steps = max(epochs, -(-400 * batch // len(texts)))  # small samples are gone through more often
+    steps = max(epochs, -(-150 * batch // len(texts)))  # small samples are gone through more often
     for _ in range(min(steps, 10 * epochs)):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
@@ -313,9 +314,7 @@ def score_texts(docs: DataFrame, classifier: Classifier, *, text_col: str = "tex
     model = docs.sparkSession.sparkContext.broadcast(classifier.model)  # BUCKETS x DIM floats: 6 MB
 
     @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.value.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts]))
 
