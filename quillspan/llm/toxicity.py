@@ -26,59 +26,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import small_batches, table, text_of
+from .words import Scan, grouped
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 12, (1, 2, 3), 10
 PREFIXES = (3, 5, 6, 7)
 MAX_PER_LABEL, MAX_TRAIN_BYTES, EPOCHS = 4000, 48 << 20, 6
 SEED = 11
 
-#: Bytes that words are made of: letters, digits and all of multi-byte characters. A-Z count as a-z.
-WORDY = np.zeros(256, bool)
-WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-LOWERED = np.arange(256, dtype=np.uint8)
-LOWERED[65:91] += 32
-#: UTF-8 capitals of Latin-1 (C3 80..9E, bar C3 97) differ from small ones in the second byte's bit 5.
-PRIME = np.uint64(0x100000001B3)
-
-
-def _inverse(a: int) -> np.uint64:
-    return np.uint64(pow(a, -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features, bounds): a row of bucket numbers per word (whole, then each prefix), and where each text's words begin, with the end."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = LOWERED[np.frombuffer(joined, np.uint8)]
-    lead = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97))
-    raw[lead + 1] |= 0x20
-    wordy = WORDY[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], wordy, [False])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
-    if not len(starts):
-        return np.zeros((0, 1 + len(PREFIXES)), np.int32), bounds
-    power = np.empty(len(raw) + 1, np.uint64)
-    power[0] = 1
-    power[1:] = PRIME
-    np.multiply.accumulate(power, out=power)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1])))
-    back = np.empty(len(raw) + 1, np.uint64)
-    back[0] = 1
-    back[1:] = _inverse(int(PRIME))
-    np.multiply.accumulate(back, out=back)
-    shift = back[starts]
-    out = np.empty((len(starts), 1 + len(PREFIXES)), np.int32)
-    for j, p in enumerate((1 << 40, *PREFIXES)):
-        upto = np.minimum(ends, starts + p)
-        out[:, j] = _mix((sums[upto] - sums[starts]) * shift + np.uint64(j * 7919)) & np.uint64(BUCKETS - 1)
-    return out, bounds
+    scan = Scan(texts)
+    out = np.empty((len(scan.starts), 1 + len(PREFIXES)), np.int32)
+    for j, first in enumerate((1 << 40, *PREFIXES)):
+        out[:, j] = scan.hashes(first, j * 7919) & np.uint64(BUCKETS - 1)
+    return out, scan.bounds
 
 
 class Model:
@@ -137,47 +99,12 @@ class Model:
         if not self.trained:
             return np.full(len(texts), 0.5)
         pooled = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
-        group, owners, size = [], [], 0
-
-        def flush():
-            if group:
-                np.maximum.at(pooled, owners, self.pool(*hash_words(group)))
-                group.clear()
-                owners.clear()
-
-        for i, t in enumerate(texts):
-            for piece in pieces(t, chunk):
-                group.append(piece)
-                owners.append(i)
-                size += len(piece) + 1
-                if size >= chunk:
-                    flush()
-                    size = 0
-        flush()
+        for owners, group in grouped(texts, chunk, max(WIDTHS) - 1):
+            np.maximum.at(pooled, owners, self.pool(*hash_words(group)))
         z = pooled @ self.out + self.bias
         return 1 / (1 + np.exp(-np.clip(self.scale * z.astype(np.float64) + self.shift, -60, 60)))
 
 
-def pieces(text: bytes, chunk: int) -> Iterator[bytes]:
-    """A text cut at spaces into about ``chunk`` bytes, each piece from two words before its cut, so no window is lost."""
-    start = 0
-    while len(text) - start > chunk:
-        cut = text.find(b" ", start + chunk)
-        if cut < 0:
-            break
-        yield text[start:cut]
-        span = 4096
-        while True:  # back to where the last words before the cut begin
-            low = max(start, cut - span)
-            wordy = WORDY[np.frombuffer(text, np.uint8, cut - low, low)]
-            begins = np.flatnonzero(wordy[1:] & ~wordy[:-1]) + 1
-            if len(begins) >= max(WIDTHS) - 1 or low == start:
-                break
-            span *= 8
-        start = low + int(begins[-(max(WIDTHS) - 1)]) if len(begins) >= max(WIDTHS) - 1 else cut
-    yield text[start:]
-
-
 def best_of(best: np.ndarray, has: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, best.shape[1]), np.float32)
     out[has] = best
