@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, mixing, quotes, secrets, sharding, toxicity
+from . import decontaminate, line_dedup, media, mixing, order_minhash, quotes, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_quote_link": quotes.op2_quote_link,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_media_columns": media.op8_media_columns,
