@@ -113,7 +113,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     if not len(a) and not len(b):
         return True
     need = int(similarity * (len(a) + len(b)) / (1 + similarity))
-    while need / (len(a) + len(b) - need) < similarity:
+    while need < len(a) + len(b) and need / (len(a) + len(b) - need) < similarity:
         need += 1
     while need and (need - 1) / (len(a) + len(b) - need + 1) >= similarity:
         need -= 1
