@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, mixing, order_minhash, quotes, secrets, sharding, toxicity
+from . import decontaminate, line_dedup, media, mixing, order_minhash, quotes, secrets, sharding, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quote_link": quotes.op2_quote_link,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
