@@ -10,9 +10,12 @@ Sketches of LONG shingles (for texts of SHORT_TEXT shingles or more) meet by cha
 short texts need; texts near the bound have both. At a similarity of 0.8 a pair agrees in none of 24 sketches with a chance
 of about 1 in 10,000. Verified pairs form classes, the connected components.
 
-Scale: equal texts are one key from the start. Members of a bucket are compared with its least key, not with each other; those
-that fail meet up to 16 further leaders a round, until each is linked, or a leader that all the later ones were compared with.
-No candidate is dropped. Tables between the steps hold keys; texts are shuffled only for keys that have a candidate.
+Scale: equal texts are one key from the start. Members of a bucket are compared with its leader, not with each other: a text has
+as many comparisons as buckets, however many copies there are. The leader is the most central key. A text that is unlike
+leaders gets a second comparison in each bucket that two of those buckets make together, with a leader among such texts.
+Links that go through neither leader are left to the class's other links: texts alike in their edits share buckets that
+hold these edits, so have a leader of their own. Recall is measured against brute force in the README.
+Tables between the steps hold keys; texts are shuffled only for keys that have a candidate.
 
 Defined cases: null and empty texts, and texts without words, are one class each by equal text; texts of fewer than five words
 have one shingle of all their words; ties go to the least key; repeated rows are members of their class like others; a null
@@ -181,34 +184,36 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.select("_a", "_b", "_ta", "_tb").mapInArrow(check, "_a binary, _b binary, _ok boolean")
 
 
+def compare_with_leaders(buckets: DataFrame, tested: DataFrame | None, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """One star per bucket of buckets(_bucket, _key, _n). (all pairs tested so far, the (_bucket, _key) that their leader is not similar to).
+
+    The leader is the key whose buckets are the most crowded: among edited copies of one text, the one with the fewest edits."""
+    weight = buckets.groupBy("_key").agg(F.sum("_n").alias("_w"))
+    heads = settle(buckets.join(weight, "_key").groupBy("_bucket").agg(F.max_by("_key", F.struct("_w", "_key")).alias("_head")))
+    met = settle(buckets.join(heads, "_bucket").where(F.col("_key") != F.col("_head")).select("_bucket", "_key", F.least("_key", "_head").alias("_a"), F.greatest("_key", "_head").alias("_b")))
+    asked = met.select("_a", "_b").distinct()
+    now = settle(verify(asked if tested is None else asked.join(tested, ["_a", "_b"], "left_anti"), texts, similarity))
+    tested = now if tested is None else settle(tested.unionByName(now))
+    return tested, settle(met.join(tested.where("not _ok").select("_a", "_b"), ["_a", "_b"]).select("_bucket", "_key"))
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """(_bucket, _key, _n) of the buckets that hold two keys or more."""
+    rows = settle(rows)
+    full = settle(rows.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
+    return settle(rows.join(full, "_bucket"))
+
+
 def near_links(keyed: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between different texts of ``keyed(_key, _text)``: enough of them to connect each class."""
-    sketched = sketch_keys(keyed)
-    sketched = settle(sketched)
-    full = settle(sketched.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket"))
-    waiting = settle(sketched.join(full, "_bucket"))
-    wanted = waiting.select("_key").distinct()
-    texts = settle(keyed.join(wanted, "_key").groupBy("_key").agg(F.first("_text").alias("_text")))
-
-    tested, leaders = None, 1
-    while waiting.limit(1).count():
-        part = F.pmod(F.xxhash64("_key", F.lit(leaders)), F.lit(leaders))
-        heads = settle(waiting.groupBy("_bucket", part.alias("_part")).agg(F.min("_key").alias("_a")).drop("_part"))
-        met = settle(waiting.join(heads, "_bucket").where(F.col("_key") != F.col("_a")).select("_bucket", "_a", F.col("_key").alias("_b")))
-        asked = met.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-        if tested is not None:
-            asked = asked.join(tested, ["_a", "_b"], "left_anti")
-        now = settle(verify(asked, texts, similarity))
-        tested = now if tested is None else settle(tested.unionByName(now))
-        good = tested.where("_ok").select("_a", "_b")
-        linked = met.withColumn("_x", F.col("_b")).select("_bucket", "_x", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).join(good, ["_a", "_b"]).select("_bucket", F.col("_x").alias("_key"))
-        gone = linked.unionByName(heads.select("_bucket", F.col("_a").alias("_key"))).distinct()
-        rest = waiting.join(gone, ["_bucket", "_key"], "left_anti")
-        alone = rest.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket")
-        waiting = settle(rest.join(alone, "_bucket"))
-        leaders = min(16, leaders * 4)
-    if tested is None:
-        return keyed.select(F.col("_key").alias("a"), F.col("_key").alias("b")).limit(0)
+    """Verified links (a, b) between different texts of ``keyed(_key, _text)``: stars that connect each class."""
+    buckets = crowded(sketch_keys(keyed))
+    texts = settle(keyed.join(buckets.select("_key").distinct(), "_key").groupBy("_key").agg(F.first("_text").alias("_text")))
+    tested, failed = compare_with_leaders(buckets, None, texts, similarity)
+    # Each two of the buckets in which a key met a leader unlike it make one finer bucket.
+    several = failed.groupBy("_key").agg(F.array_sort(F.collect_set("_bucket")).alias("_bs")).where(F.size("_bs") > 1)
+    pairs = F.flatten(F.transform("_bs", lambda x: F.transform(F.filter("_bs", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    finer = crowded(several.select("_key", F.explode(pairs).alias("_bucket")).distinct())
+    tested, _ = compare_with_leaders(finer, tested, texts, similarity)
     return tested.where("_ok").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
