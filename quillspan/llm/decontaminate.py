@@ -13,7 +13,6 @@ windows; repeated items count once; empty tables give no hits or an empty result
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,18 +92,17 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, spans, items): hit runs of words and the items whose windows occur, for every row of ``docs``."""
+def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The ``carry`` columns, then _text, _n_words, _spans (hit runs of words), _items (whose windows occur), for every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("_item"), text_of(item_text_col).alias("_text"))
     size = tests.agg(F.sum(F.octet_length("_text"))).collect()[0][0] or 0
     blocks = -(-size // block_bytes) or 1
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
-    ])
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    k = len(carry)
+    own = [T.StructField("_text", T.StringType()), T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*(docs.schema[c] for c in carry), *own])
+    out = docs.select(*carry, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n_words"), F.expr("cast(array() as array<int>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
     for block in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block) if blocks > 1 else tests
         rows = sorted({(r["_item"], r["_text"]) for r in part.toLocalIterator()})
@@ -113,9 +111,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             patterns = build(shared.value, window)
             for batch in batches:
-                texts, before, known = batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
                 counts, spans, items = [], [], []
-                for text, old, had in zip(texts, before, known, strict=True):
+                for text, old, had in zip(*(batch.column(k + i).to_pylist() for i in (0, 2, 3)), strict=True):
                     words = words_of(text)
                     runs, found = mark(words, patterns)
                     if old:
@@ -123,20 +120,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
                     counts.append(len(words))
                     spans.append(runs)
                     items.append(sorted(found.union(had)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+                new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], *new], names=batch.schema.names)
 
         out = out.mapInArrow(scan, schema)
     return out
 
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    hit = F.aggregate("spans", F.lit(0), lambda a, x: x - a)  # alternating sum: s1, e1-s1, s2-e1+s1 ... ends as the runs' total
-    return out.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    hit = F.aggregate("_spans", F.lit(0), lambda a, x: x - a)  # alternating sum: s1, e1-s1, s2-e1+s1 ... ends as the runs' total
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
 
 
 SQL = r"""

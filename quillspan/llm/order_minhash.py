@@ -222,14 +222,23 @@ def key_of(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _key, class_id), a row per row of ``docs``: class_id is the least doc_id of the class; _key stands for the text."""
+    """(doc_id, _key, _label, class_id), a row per row of ``docs``: class_id is the least doc_id of the class; _key stands for the text, _label for the class."""
     keyed = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).select("_id", key_of(F.col("_text")).alias("_key"), "_text")
     labels = components(near_links(keyed.select("_key", "_text"), similarity=similarity))
     ids = settle(keyed.select("_id", "_key"))
     named = ids.join(labels.select(F.col("node").alias("_key"), "label"), "_key", "left").select("_id", "_key", F.coalesce("label", "_key").alias("_label"))
     named = settle(named)
     least = settle(named.groupBy("_label").agg(F.min("_id").alias("_class")))
-    return named.join(least, "_label").select(F.col("_id").alias("doc_id"), "_key", F.col("_class").alias("class_id"))
+    return named.join(least, "_label").select(F.col("_id").alias("doc_id"), "_key", "_label", F.col("_class").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any more) that stay: the least doc_id of each class, a single row of it; null ids only where a class has no other."""
+    named = near_duplicates(docs, similarity=similarity)
+    stays = named.groupBy("_label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")).alias("_s")).select(F.col("_s.doc_id").alias("_sid"), F.col("_s._key").alias("_skey"))
+    keyed = docs.withColumn("_key", key_of(text_of("text")))
+    met = keyed.join(settle(stays), (F.col("_key") == F.col("_skey")) & F.col("doc_id").eqNullSafe(F.col("_sid")), "left_semi")
+    return met.dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
