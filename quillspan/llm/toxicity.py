@@ -30,7 +30,7 @@ from .words import Scan, grouped
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 12, (1, 2, 3), 10
 PREFIXES = (3, 5, 6, 7)
-MAX_PER_LABEL, MAX_TRAIN_BYTES, EPOCHS = 4000, 48 << 20, 6
+MAX_PER_LABEL, MAX_TRAIN_BYTES, EPOCHS = 4000, 24 << 20, 6
 SEED = 11
 
 
@@ -43,6 +43,16 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, scan.bounds
 
 
+def hash_in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """hash_words of many texts, a bounded part at a time: the tables of hash_words are 40 times as large as its text."""
+    counts, parts = np.zeros(len(texts) + 1, np.int64), []
+    for owners, group in grouped(texts, 1 << 20):
+        features, bounds = hash_words(group)
+        parts.append(features)
+        np.add.at(counts, np.array(owners) + 1, np.diff(bounds))
+    return np.concatenate(parts) if parts else np.zeros((0, 1 + len(PREFIXES)), np.int32), np.cumsum(counts)
+
+
 class Model:
     """Embeddings E (buckets x DIM), filters W (width, DIM, FILTERS) with bias, and the logistic layer."""
 
@@ -119,7 +129,7 @@ def train(texts: list[bytes], toxic: np.ndarray, *, epochs: int = EPOCHS, batch:
         return model
     model.trained = True
     weight = np.where(toxic == 1, min(4.0, float((toxic == 0).sum() / max(1, (toxic == 1).sum()))), 1.0).astype(np.float32)
-    features, bounds = hash_words(texts)
+    features, bounds = hash_in_parts(texts)
     acc = {"e": np.full(BUCKETS, 1e-3, np.float32), "out": np.full(model.out.shape, 1e-3, np.float32), "bias": np.float32(1e-3)}
     acc |= {("w", k): np.full(model.w[k].shape, 1e-3, np.float32) for k in WIDTHS} | {("b", k): np.full(FILTERS, 1e-3, np.float32) for k in WIDTHS}
 
@@ -226,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, keep: Column | None = None, max_p
     if not model.trained:
         return Classifier(model, 0.5, {})
     texts, y = [r[0] for r, h in zip(rows, held, strict=True) if h], toxic[held]
-    raw = np.concatenate([model.logits(*hash_words(texts[i : i + 200])) for i in range(0, len(texts), 200)]) if texts else np.zeros(0)
+    raw = np.concatenate([model.logits(*hash_in_parts(texts[i : i + 200])) for i in range(0, len(texts), 200)]) if texts else np.zeros(0)
     calibrate(model, raw, y)
     s = model.scores(texts)
     languages = np.array([r[1] or "" for r, h in zip(rows, held, strict=True) if h])
