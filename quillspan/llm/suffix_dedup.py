@@ -10,8 +10,8 @@ pieces of the texts, dealt so that equal passages meet. Each passage of ``length
 the one of least hash (leftmost of ties) is its anchor, which depends on the passage alone. A piece is all passages
 with one anchor: at most 2 x length bytes, each start position of a text in exactly one piece. Only anchors whose gram
 occurs twice go on; their pieces are grouped by gram, and each task transforms collections of whole groups. Within a group,
-equal pieces are one string with a mark that it stands for several, and strings that agree with no other over ``length``
-bytes around the anchor (by sorting what follows and what precedes it) are left out: they cannot recur.
+pieces are cut to what another one shares with them around the anchor (by sorting what follows and what precedes it), those
+cut below ``length`` bytes are left out, as they cannot recur, and equal ones are one string with a mark that it stands for several.
 
 Groups of more than ``max_group`` different pieces take an exact way instead, so that no task holds an unbounded group: 128-bit
 hashes of their passages are counted by Spark, with partial sums before the shuffle.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import settle, small_batches, table, text_of
+from .base import release, settle, small_batches, table, text_of
 from .words import PRIME, U, _powers, mix
 
 LENGTH, GRAM, MAX_GROUP, COLLECTION, SEGMENT = 400, 32, 400, 64 << 10, 1 << 20
@@ -212,28 +212,44 @@ def reach(contexts: list[bytes]) -> list[int]:
 
 
 class Collector:
-    """Takes groups of (number, piece, offset of the anchor); transforms them in collections of about COLLECTION bytes."""
+    """Takes groups of (number, piece, offset of the anchor, whether it stands for several); transforms them in collections.
 
-    def __init__(self, length: int):
-        self.length, self.strings, self.shift, self.numbers, self.size = length, [], [], [], 0
+    A piece is cut to what another one may share with it. Equal cuts are one string; one that stands for several pieces or
+    places recurs all over, and is in the collection for the others' sake. Groups without others need no transform."""
 
-    def add(self, group: list[tuple[bytes, bytes, int]]) -> Iterator[tuple[bytes, list[int]]]:
-        right, left = reach([p[at:] for _, p, at in group]), reach([p[:at][::-1] for _, p, at in group])
-        chosen = [(g, r, back) for g, r, back in zip(group, right, left, strict=True) if r + back >= self.length]  # others agree with none over a passage's length
-        size = sum(r + back for _, r, back in chosen)
+    def __init__(self, length: int):
+        self.length, self.strings, self.owners, self.size = length, [], [], 0
+
+    def add(self, group: list[tuple[bytes, bytes, int, bool]]) -> Iterator[tuple[bytes, list[int]]]:
+        right, left = reach([p[at:] for _, p, at, _ in group]), reach([p[:at][::-1] for _, p, at, _ in group])
+        cuts: dict[bytes, list[tuple[bytes, int]]] = {}
+        sure: set[bytes] = set()
+        for (number, piece, at, several), r, back in zip(group, right, left, strict=True):
+            if r + back < self.length:
+                continue  # no other piece agrees with it over a passage's length
+            cut = piece[at - back : at + r]
+            owners = cuts.setdefault(cut, [])
+            owners.append((number, at - back))
+            if several or len(owners) > 1:
+                sure.add(cut)
+        for cut in sure:
+            for number, shift in cuts[cut]:
+                yield number, [shift, shift + len(cut) - self.length]
+        if len(sure) == len(cuts):
+            return
+        size = sum(map(len, cuts))
         if self.size + size > COLLECTION:  # between groups: a group stays in one collection
             yield from self.flush()
         self.size += size
-        for (number, piece, at), r, back in chosen:
-            self.strings.append(piece[at - back : at + r])
-            self.shift.append(at - back)
-            self.numbers.append(number)
+        for cut, owners in cuts.items():
+            self.strings.append(cut)
+            self.owners.append([] if cut in sure else owners)
 
     def flush(self) -> Iterator[tuple[bytes, list[int]]]:
-        for number, shift, starts in zip(self.numbers, self.shift, recurring(self.strings, self.length), strict=True):
-            if len(starts):
+        for owners, starts in zip(self.owners, recurring(self.strings, self.length), strict=True):
+            for number, shift in owners if len(starts) else []:
                 yield number, runs_of(starts + shift)
-        self.strings, self.shift, self.numbers, self.size = [], [], [], 0
+        self.strings, self.owners, self.size = [], [], 0
 
 
 # ---- the operator -----------------------------------------------------------------------------------------------------
@@ -252,6 +268,8 @@ def batch_of(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.Re
 
 
 def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
+    """(_key, _gram, _place): a row per piece; _place packs first, last - first and anchor - first."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -265,9 +283,11 @@ def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
                 continue
             sizes = [len(f[0]) for f in found]
             owner = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), sizes)))
-            yield pa.RecordBatch.from_arrays([owner, *(pa.array(np.concatenate([f[i] for f in found])) for i in range(4))], names=["_key", "_gram", "_first", "_last", "_at"])
+            gram, first, last, at = (np.concatenate([f[i] for f in found]) for i in range(4))
+            place = (first * length + (last - first)) * length + (at - first)
+            yield pa.RecordBatch.from_arrays([owner, pa.array(gram), pa.array(place)], names=["_key", "_gram", "_place"])
 
-    return keyed.mapInArrow(scan, "_key binary, _gram long, _first long, _last long, _at long")
+    return keyed.mapInArrow(scan, "_key binary, _gram long, _place long")
 
 
 def piece_table(texts: DataFrame, length: int) -> DataFrame:
@@ -282,9 +302,11 @@ def piece_table(texts: DataFrame, length: int) -> DataFrame:
             for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = utf8(text)
                 for p in places:
-                    piece, off = data[p["_first"] : p["_last"] + length], p["_at"] - p["_first"]
+                    rest, off = divmod(p["_place"], length)
+                    first, more = divmod(rest, length)
+                    piece = data[first : first + more + length]
                     pid = hashlib.md5(piece + off.to_bytes(4, "big")).digest()
-                    for row, x in zip(rows, (p["_gram"], pid, off, key, p["_first"], None if pid in given else piece), strict=True):
+                    for row, x in zip(rows, (p["_gram"], pid, off, key, first, None if pid in given else piece), strict=True):
                         row.append(x)
                     given.add(pid)
                 if len(rows[0]) > 5000:
@@ -308,17 +330,17 @@ def transform_groups(pieces: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             rows: list = []
-            for g, pid, off, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for g, pid, off, piece, several in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if g != gram:
                     rows.extend(collector.add(group))
                     gram, group = g, []
-                group.append((pid, piece, off))
+                group.append((pid, piece, off, several))
             if rows:
                 yield out(rows)
         if rows := [*collector.add(group), *collector.flush()]:
             yield out(rows)
 
-    return pieces.select("_gram", "_pid", "_off", "_piece").mapInArrow(work, "_pid binary, _runs array<bigint>")
+    return pieces.select("_gram", "_pid", "_off", "_piece", "_several").mapInArrow(work, "_pid binary, _runs array<bigint>")
 
 
 def passage_hashes(piece: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -353,15 +375,23 @@ def hashed_groups(pieces: DataFrame, length: int) -> DataFrame:
 
 def find_passages(keyed: DataFrame, *, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
     """(_key, _runs) for texts of ``keyed(_key, _text)``: an array of runs of starts [first, last, ...] of passages that recur."""
-    small_batches(keyed.sparkSession)
+    spark = keyed.sparkSession
+    small_batches(spark)
     found = settle(anchor_table(keyed, length))
-    place = F.struct("_key", "_first")
+    place = F.xxhash64("_key", "_place")
     twice = settle(found.groupBy("_gram").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where("_lo <> _hi").select("_gram"))
-    listed = found.join(twice, "_gram").groupBy("_key").agg(F.collect_set(F.struct("_gram", "_first", "_last", "_at")).alias("_places"))
+    listed = settle(found.join(twice, "_gram").groupBy("_key").agg(F.collect_set(F.struct("_gram", "_place")).alias("_places")))
+    del found, twice
+    release(spark)
     rows = settle(piece_table(keyed.join(listed, "_key").select("_key", "_text", "_places"), length))
+    del listed
+    release(spark)
     members = rows.select("_pid", "_key", "_first")
-    different = rows.groupBy("_gram", "_pid").agg(F.max("_off").alias("_off"), F.max("_piece").alias("_piece"), (F.min(place) != F.max(place)).alias("_several"))
-    different = settle(different)
+    place = F.xxhash64("_key", "_first")
+    different = settle(rows.groupBy("_gram", "_pid").agg(F.max("_off").alias("_off"), F.max("_piece").alias("_piece"), (F.min(place) != F.max(place)).alias("_several")))
+    members = settle(members.distinct())
+    del rows
+    release(spark)
     crowd = settle(different.groupBy("_gram").agg(F.count("*").alias("_n")))
     several = different.where("_several").select("_pid", F.array(F.lit(0).cast("long"), F.octet_length("_piece") - F.lit(length)).alias("_runs"))
     grouped = different.join(crowd.where(f"_n > 1 and _n <= {max_group}").select("_gram"), "_gram").repartition("_gram").sortWithinPartitions("_gram")
@@ -369,8 +399,11 @@ def find_passages(keyed: DataFrame, *, length: int = LENGTH, max_group: int = MA
     big = crowd.where(f"_n > {max_group}").select("_gram")
     if big.limit(1).count():
         runs = runs.unionByName(hashed_groups(different.join(big, "_gram"), length))
-    placed = members.distinct().join(runs, "_pid").select("_key", F.transform("_runs", lambda x: x + F.col("_first")).alias("_runs"))
-    return placed.groupBy("_key").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+    placed = members.join(runs, "_pid").select("_key", F.transform("_runs", lambda x: x + F.col("_first")).alias("_runs"))
+    out = settle(placed.groupBy("_key").agg(F.flatten(F.collect_list("_runs")).alias("_runs")))
+    del different, members, crowd, several, grouped, runs, big, placed
+    release(spark)
+    return out
 
 
 def removed_spans(runs: list[int], length: int, size: int) -> list[tuple[int, int]]:
