@@ -171,6 +171,15 @@ def config_errors(raw: DataFrame) -> DataFrame:
     return broken.unionByName(keys.select("project", "layer", "key", error.alias("error")).where("error is not null"))
 
 
+def factory_gaps(raw: DataFrame) -> DataFrame:
+    """(project, key, problem): where a project's file does not state each key at its default; problem missing or differs."""
+    files = first_candidates(raw).where("layer = 'project'").select("project", parsed(F.col("raw")).alias("v"))
+    pairs = [F.struct(F.lit(k.name).alias("key"), value(F.col("v"), k.name).alias("own"), default_value(k).alias("default")) for k in SCHEMA]
+    rows = files.select("project", F.inline(F.array(*pairs)))
+    problem = F.when(F.col("own.kind") == "absent", "missing").when(~F.col("own").eqNullSafe(F.col("default")), "differs")
+    return rows.select("project", "key", problem.alias("problem")).where("problem is not null")
+
+
 def candidates(root: Column, app: str) -> Column:
     """Where a project's file may be, by rank."""
     homes = [f"/{d}/{app}.json" for d in (".claude", ".agents", ".gemini")]

@@ -22,7 +22,7 @@ _BOOLS = {"ordered", "spread", "checked", "passthrough"}
 _LISTS = {"ancestor_types", "align"}
 
 
-def _spark_type(name: str) -> T.DataType:
+def field_type(name: str) -> T.DataType:
     return T.IntegerType() if name in _INTS else T.BooleanType() if name in _BOOLS else T.ArrayType(T.StringType()) if name in _LISTS else T.StringType()
 
 
@@ -45,7 +45,7 @@ def parse_nodes(docs: DataFrame) -> DataFrame:
     if not 0 < int(spark.conf.get(name, "10000")) <= DOCS_PER_BATCH:
         spark.conf.set(name, str(DOCS_PER_BATCH))
     ready = with_status(docs.select("doc_id", "text")).where("scan_status = 'scanned'").select("doc_id", "text")
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f, _spark_type(f)) for f in FIELDS)])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f, field_type(f)) for f in FIELDS)])
     kinds = [_arrow_type(f) for f in FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

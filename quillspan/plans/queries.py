@@ -351,6 +351,17 @@ def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.where("setting = 'suiteMode'").groupBy("value").agg(F.count("*").alias("projects"))
 
 
+@query("k07_factory_gaps", "SELECT n_nationkey::VARCHAR AS project, CASE n_nationkey % 3 WHEN 1 THEN 'language' ELSE 'updateCheckDays' END AS key, CASE n_nationkey % 3 WHEN 1 THEN 'missing' ELSE 'differs' END AS problem FROM nation WHERE n_nationkey % 3 <> 0")
+def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    full = {k.name: list(k.default) if k.type == "strings" else k.default for k in config.SCHEMA}
+    texts = [full, {k: v for k, v in full.items() if k != "language"}, {**full, "updateCheckDays": 15}]
+    pick = F.element_at(F.array(*[F.lit(json.dumps(t)) for t in texts]), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return config.factory_gaps(n.select(F.col("n_nationkey").cast("string").alias("project"), F.lit("project").alias("layer"), F.lit(0).alias("candidate_rank"), pick.alias("raw")))
+
+
 @query("w09_project_root", "SELECT DISTINCT '/home/u/' || c_nationkey || '/a/' || (c_custkey % 5) AS start, CASE WHEN c_nationkey % 2 = 0 THEN '/home/u/' || c_nationkey ELSE '/home/u/' || c_nationkey || '/a/' || (c_custkey % 5) END AS root FROM customer")
 def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_nationkey").cast("string")

@@ -68,11 +68,17 @@ def classify(events: DataFrame, *, temp_dir: str = "/tmp", cwd: str = "/") -> Da
 
 
 class Sessions(StatefulProcessor):
-    """Emits a row per stop that closes a batch of edits: drift says whether the note is due, docs how many were edited."""
+    """Emits a row per stop that closes a batch of edits: drift says whether the note is due, docs how many were edited.
+
+    ttl_ms: how long state of a session that is not heard of is kept; None: for ever."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.docs = handle.getMapState("docs", T.StructType([T.StructField("path", T.StringType())]), T.StructType([T.StructField("seq", T.LongType())]))
-        self.recorded = handle.getValueState("recorded", T.StructType([T.StructField("yes", T.BooleanType())]))
+        path, seq, yes = (T.StructType([T.StructField(n, t)]) for n, t in (("path", T.StringType()), ("seq", T.LongType()), ("yes", T.BooleanType())))
+        self.docs = handle.getMapState("docs", path, seq, self.ttl_ms)
+        self.recorded = handle.getValueState("recorded", yes, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq", kind="stable")
@@ -103,10 +109,10 @@ class Sessions(StatefulProcessor):
 OUTPUT = "sid string, seq long, drift boolean, docs long"
 
 
-def track(classified: DataFrame) -> DataFrame:
-    """The stream of stops of a classified stream of events. Needs the RocksDB state store."""
+def track(classified: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The stream of stops of a classified stream of events, on the RocksDB state store."""
     classified.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return classified.groupBy("sid").transformWithStateInPandas(statefulProcessor=Sessions(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    return classified.groupBy("sid").transformWithStateInPandas(statefulProcessor=Sessions(ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
 def responses(stops: DataFrame, settings: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
