@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 from .base import settle
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` settled, without its plan's size estimate: a settled table keeps that, and each join to itself squares it, to numbers of millions of digits."""
+    session, done = df.sparkSession, settle(df)._jdf
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), session)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links(a, b)``; the label is one of the component's nodes.
 
     Each round points every node at its least neighbour, if less than itself, follows the pointers to their roots by doubling,
     and renames the links by the roots; links inside one root go. A hub of any degree costs one row per link, with minima taken
     before the shuffle. The tables hold keys only and are written to the shared folder each round."""
-    edges = settle(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = plain(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("label"))
-    labels = settle(labels)
+    labels = plain(labels)
     while edges.limit(1).count():
-        up = settle(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))  # a < b, so pointers never form a ring
+        up = plain(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))  # a < b, so pointers never form a ring
         while True:
             above = up.select(F.col("node").alias("up"), F.col("up").alias("_top"))
-            up = settle(up.join(above, "up", "left").select("node", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("_more")))
+            up = plain(up.join(above, "up", "left").select("node", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("_more")))
             if not up.where("_more").limit(1).count():
                 break
             up = up.drop("_more")
         up = up.select("node", "up")
         for name in ("a", "b"):
             edges = edges.join(up.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("up", name)).drop("up")
-        edges = settle(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        labels = settle(labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        edges = plain(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        labels = plain(labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
     return labels

@@ -10,12 +10,12 @@ Sketches of LONG shingles (for texts of SHORT_TEXT shingles or more) meet by cha
 short texts need; texts near the bound have both. At a similarity of 0.8 a pair agrees in none of 24 sketches with a chance
 of about 1 in 10,000. Verified pairs form classes, the connected components.
 
-Scale: equal texts are one key from the start. Members of a bucket are compared with its leader, not with each other: a text has
-as many comparisons as buckets, however many copies there are. The leader is the most central key. A text that is unlike
-leaders gets a second comparison in each bucket that two of those buckets make together, with a leader among such texts.
-Links that go through neither leader are left to the class's other links: texts alike in their edits share buckets that
-hold these edits, so have a leader of their own. Recall is measured against brute force in the README.
-Tables between the steps hold keys; texts are shuffled only for keys that have a candidate.
+Scale: equal texts are one key from the start. Members of a bucket are first compared with its leader, the most central key: a
+text has as many comparisons as buckets, however many copies there are. Then the exact rest: every two bucket mates that are not
+in one class by then are held against each other by outlines, bit sets whose difference is never more than that of the texts'
+shingles. Pairs that the outlines allow are verified, first the nearest mate of each key, then all that are still in two
+classes. So each two texts of a bucket are verified, in one class by other links, or proven unlike; buckets over BLOCK keys are
+compared block by block. Tables between the steps hold keys; texts are shuffled only for keys that have a candidate.
 
 Defined cases: null and empty texts, and texts without words, are one class each by equal text; texts of fewer than five words
 have one shingle of all their words; ties go to the least key; repeated rows are members of their class like others; a null
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,17 @@ from .words import mix, occurrences, shingles, word_hashes
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 24
 SHORT, LONG, SHORT_TEXT = 2, 5, 32
+BITS, BLOCK = 4096, 1024  # of an outline; keys that are held against each other in one unit of work
 SALTS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def label_shingles(shingled: np.ndarray) -> np.ndarray:
+    return mix(shingled + occurrences(shingled).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def sketches(shingled: np.ndarray, take: int) -> np.ndarray:
     """SKETCHES hashes, each of the ``take`` least labelled shingles in text order."""
-    labelled = mix(shingled + occurrences(shingled).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    labelled = label_shingles(shingled)
     out = np.empty(SKETCHES, np.uint64)
     width = max(1, min(SKETCHES, (1 << 20) // max(1, len(labelled))))  # salts at once, so that long texts need little memory
     for i in range(0, SKETCHES, width):
@@ -184,17 +190,92 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.select("_a", "_b", "_ta", "_tb").mapInArrow(check, "_a binary, _b binary, _ok boolean")
 
 
-def compare_with_leaders(buckets: DataFrame, tested: DataFrame | None, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """One star per bucket of buckets(_bucket, _key, _n). (all pairs tested so far, the (_bucket, _key) that their leader is not similar to).
+def compare_with_leaders(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """One star per bucket of buckets(_bucket, _key, _n): its pairs, with _ok.
 
     The leader is the key whose buckets are the most crowded: among edited copies of one text, the one with the fewest edits."""
     weight = buckets.groupBy("_key").agg(F.sum("_n").alias("_w"))
     heads = settle(buckets.join(weight, "_key").groupBy("_bucket").agg(F.max_by("_key", F.struct("_w", "_key")).alias("_head")))
-    met = settle(buckets.join(heads, "_bucket").where(F.col("_key") != F.col("_head")).select("_bucket", "_key", F.least("_key", "_head").alias("_a"), F.greatest("_key", "_head").alias("_b")))
-    asked = met.select("_a", "_b").distinct()
-    now = settle(verify(asked if tested is None else asked.join(tested, ["_a", "_b"], "left_anti"), texts, similarity))
-    tested = now if tested is None else settle(tested.unionByName(now))
-    return tested, settle(met.join(tested.where("not _ok").select("_a", "_b"), ["_a", "_b"]).select("_bucket", "_key"))
+    met = buckets.join(heads, "_bucket").where(F.col("_key") != F.col("_head")).select(F.least("_key", "_head").alias("_a"), F.greatest("_key", "_head").alias("_b"))
+    return settle(verify(met.distinct(), texts, similarity))
+
+
+def outline(shingled: np.ndarray) -> bytes:
+    """BITS parities of the labelled shingles: two outlines differ in no more bits than the texts in labelled shingles."""
+    return np.packbits(np.bincount((label_shingles(shingled) >> np.uint64(52)).astype(np.int64), minlength=BITS) & 1 != 0).tobytes()
+
+
+def outlines(texts: DataFrame) -> DataFrame:
+    """(_key, _len, _bits) of texts(_key, _text)."""
+    small_batches(texts.sparkSession)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(w, SHINGLE) for w in word_hashes([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([outline(f) for f in found], pa.binary())], names=["_key", "_len", "_bits"])
+
+    return texts.select("_key", "_text").mapInArrow(draw, "_key binary, _len long, _bits binary")
+
+
+def allowed(rows: list[tuple], across: bool, similarity: float, nearest: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of rows (side, key, label, length, bits) of two labels that may be as similar by their outlines; with ``across``, of two sides.
+
+    With ``nearest``, for each key only the pair whose outlines differ least for their lengths."""
+    rows = sorted(rows, key=lambda r: r[3])
+    ids: dict[bytes, int] = {}
+    labels, sides = np.array([ids.setdefault(r[2], len(ids)) for r in rows]), np.array([r[0] for r in rows])
+    sizes = np.array([r[3] for r in rows], np.int64)
+    bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+    upto = np.searchsorted(sizes, sizes / similarity + 1e-6, "right")  # a shorter text cannot be that similar
+    best: dict[int, tuple[float, int]] = {}
+    for i in range(len(rows)):
+        j = np.arange(i + 1, upto[i])
+        j = j[labels[j] != labels[i]]
+        if across:
+            j = j[sides[j] != sides[i]]
+        both = sizes[i] + sizes[j]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        may = apart <= both - 2 * np.ceil(similarity * both / (1 + similarity) - 1e-6)
+        for k, d in zip(j[may].tolist(), (apart[may] / both[may]).tolist(), strict=True):
+            if nearest:
+                best[i], best[k] = min(best.get(i, (2.0, 0)), (d, k)), min(best.get(k, (2.0, 0)), (d, i))
+            else:
+                yield rows[i][1], rows[k][1]
+    for i, (_, k) in best.items():
+        yield rows[i][1], rows[k][1]
+
+
+def compare_rest(buckets: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """``tested`` and, verified, the bucket mates that its links leave in two classes and that may be similar; with ``nearest``, one for each key and unit.
+
+    A unit is two blocks of a bucket, so no task holds more than 2 x BLOCK outlines about."""
+    labels = components(tested.where("_ok").select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_key"), "label")
+    named = settle(buckets.join(labels, "_key", "left").select("_bucket", "_key", "_n", F.coalesce("label", "_key").alias("_label")))
+    several = named.groupBy("_bucket").agg(F.min("_label").alias("_l0"), F.max("_label").alias("_l1")).where("_l0 != _l1").select("_bucket")
+    asked = settle(named.join(several, "_bucket"))
+    drawn = outlines(texts.join(asked.select("_key").distinct(), "_key"))
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    placed = asked.join(settle(drawn), "_key").withColumn("_side", F.pmod(F.xxhash64("_key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = placed.select("_bucket", F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi"), "_side", "_key", "_label", "_len", "_bits")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[bytes, bytes]]:
+            unit, rows = None, []
+            for batch in batches:
+                for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                    if row[:3] != unit:
+                        if unit:
+                            yield from allowed(rows, unit[1] != unit[2], similarity, nearest)
+                        unit, rows = row[:3], []
+                    rows.append(row[3:])
+            if unit:
+                yield from allowed(rows, unit[1] != unit[2], similarity, nearest)
+
+        for part in batched(parts(), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in part], pa.binary()) for f in (min, max)], names=["_a", "_b"])
+
+    mates = units.repartition("_bucket", "_lo", "_hi").sortWithinPartitions("_bucket", "_lo", "_hi").mapInArrow(pair, "_a binary, _b binary").distinct()
+    return settle(tested.unionByName(verify(settle(mates.join(tested, ["_a", "_b"], "left_anti")), texts, similarity)))
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -205,15 +286,12 @@ def crowded(rows: DataFrame) -> DataFrame:
 
 
 def near_links(keyed: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between different texts of ``keyed(_key, _text)``: stars that connect each class."""
+    """Verified links (a, b) between different texts of ``keyed(_key, _text)`` that connect each class."""
     buckets = crowded(sketch_keys(keyed))
     texts = settle(keyed.join(buckets.select("_key").distinct(), "_key").groupBy("_key").agg(F.first("_text").alias("_text")))
-    tested, failed = compare_with_leaders(buckets, None, texts, similarity)
-    # Each two of the buckets in which a key met a leader unlike it make one finer bucket.
-    several = failed.groupBy("_key").agg(F.array_sort(F.collect_set("_bucket")).alias("_bs")).where(F.size("_bs") > 1)
-    pairs = F.flatten(F.transform("_bs", lambda x: F.transform(F.filter("_bs", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    finer = crowded(several.select("_key", F.explode(pairs).alias("_bucket")).distinct())
-    tested, _ = compare_with_leaders(finer, tested, texts, similarity)
+    tested = compare_with_leaders(buckets, texts, similarity)
+    for nearest in (True, False):
+        tested = compare_rest(buckets, tested, texts, similarity, nearest)
     return tested.where("_ok").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 

@@ -150,6 +150,50 @@ def test_order_minhash(docs, rows, empty):
     assert order_minhash.near_duplicates(empty).count() == 0
 
 
+def drifting_hub(k, seed):
+    """A text, k copies with 3 words changed, and k / 2 copies of those with 21 more: like their parent, unlike the first text."""
+    rng = random.Random(seed)
+    hub = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(1000)]
+
+    def changed(words, n):
+        words = list(words)
+        for p in range(rng.randrange(1000 // n // 2), 1000, 1000 // n):
+            words[p] = f"new{rng.randrange(10**9)}"
+        return words
+
+    light = [changed(hub, 3) for _ in range(k)]
+    return [" ".join(w) for w in [hub, *light, *(changed(w, 21) for w in light[: k // 2])]]
+
+
+def test_order_minhash_finds_links_beside_the_leader(spark, monkeypatch):
+    texts = [t for seed in range(3) for t in drifting_hub(40, seed)]
+    sets = [shingles(w, 5) for w in word_hashes([t.encode() for t in texts])]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if order_minhash.aligned(sets[i], sets[j], 0.8)}
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i, j in sorted(alike):
+            label[i] = label[j] = min(label[i], label[j])
+    assert all(not (i % 61 > 40 and j % 61 == 0) for i, j in alike), "no heavy copy is like its hub"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (None, 20):  # buckets in one block, then in several
+        if block:
+            monkeypatch.setattr(order_minhash, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+        assert got == dict(enumerate(label)) and len(set(label)) == 3
+
+
+def test_outlines_allow_every_similar_pair():
+    rng = np.random.default_rng(2)
+    rows, sets = [], []
+    for i in range(120):
+        a = sets[rng.integers(len(sets))].copy() if i % 4 else rng.integers(0, 1 << 62, rng.integers(1, 9000)).astype(np.uint64)
+        a[rng.random(len(a)) < rng.choice([0.02, 0.1, 0.12])] = rng.integers(0, 1 << 62)
+        sets.append(a)
+        rows.append((i % 2, str(i).encode(), str(i).encode(), len(a), order_minhash.outline(a)))
+    alike = {frozenset((str(i).encode(), str(j).encode())) for i in range(120) for j in range(i) if order_minhash.aligned(sets[i], sets[j], 0.8)}
+    assert len(alike) > 40 and alike <= {frozenset(p) for p in order_minhash.allowed(rows, False, 0.8, False)}
+
+
 def test_alignment_equals_dynamic_programming():
     rng = np.random.default_rng(1)
     for _ in range(200):
