@@ -2,7 +2,8 @@
 
 Method: documents that are linked (here: those of equal texts, through their group) vote for shards; in each round joins
 carry the votes to the documents, which move to the shard that most of their neighbours are in, as far as that shard's quota
-of linked rows allows. What is left over evens out exactly: shards over their size hand their last rows, unlinked ones first,
+of linked rows allows. Groups above a quota are placed before, largest first: they fill one shard after another. The others vote
+among the shards with room; a group whose shards are all full goes to one with room, by its hash. What is left over evens out exactly: shards over their size hand their last rows, unlinked ones first,
 to shards below it. Native Spark expressions; the driver sees at most shards x shards numbers.
 
 Law ``rows``: numbers of rows are at most one apart. Defined cases: a null text is empty, and all empty texts are one group;
@@ -22,15 +23,43 @@ SHARDS, ROUNDS, PER_BUCKET = 8, 6, 20_000
 def propagate(members: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
     """Rounds of label propagation over (_row, _g1, _g2, _size, _label); _size is the group's rows.
 
-    A group within a sixteenth of the quota moves or stays as one, chosen by a hash of the group; larger ones by row."""
+    A group within a sixteenth of the quota moves or stays as one, chosen by a hash of the group; larger ones by row.
+    A group above the quota is dealt by row to the shards that it fills, and takes no part in the rounds."""
+    big = members.where(F.col("_size") > quota).groupBy("_g1", "_g2").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_g1", "_g2").collect()  # fewer than shards + 1 rows
+    taken, fixed = [0] * shards, None
+    if big:
+        place, at = F.lit(0), 0  # the row's number in all big groups one after another, then the shard that holds it
+        cuts = []
+        for g in big:
+            cuts.append(at)
+            at += g["_n"]
+        for s in range(shards):
+            taken[s] = max(0, min(quota, at - s * quota))
+        for g, cut in zip(big, cuts, strict=True):
+            share = F.pmod(F.xxhash64("_row", F.lit(3)), F.lit(1 << 30)).cast("double") / float(1 << 30) * g["_n"] + cut
+            place = F.when((F.col("_g1") == g["_g1"]) & (F.col("_g2") == g["_g2"]), share).otherwise(place)
+        label = F.least(F.floor(place / quota), F.lit(shards - 1)).cast("int")
+        fixed = settle(members.where(F.col("_size") > quota).withColumn("_label", label))
+        members = settle(members.where(F.col("_size") <= quota))
     for r in range(rounds):
         votes = members.groupBy("_g1", "_g2", "_label").agg(F.count("*").alias("_n"))
-        best = votes.groupBy("_g1", "_g2").agg(F.max_by("_label", F.struct("_n", F.xxhash64("_g1", "_label"))).alias("_want"))
+        held = list(taken)
+        for f in members.groupBy("_label").agg(F.count("*").alias("_n")).collect():  # a row per shard
+            held[f["_label"]] += f["_n"]
+        free = [max(0, quota - held[s]) for s in range(shards)]
+        # A group votes among the shards with room, and for the full one that holds all of it; where none is left, for one by its hash in proportion to the room.
+        open_ = F.element_at(F.array(*[F.lit(x > 0) for x in free]), F.col("_label") + 1)
+        whole = F.max("_n") == F.sum("_n")
+        spot, other, filled = F.pmod(F.xxhash64("_g1", F.lit(r + 100)), F.lit(max(1, sum(free)))), F.max_by("_label", "_n"), 0
+        for s in range(shards):
+            other = F.when((spot >= filled) & (spot < filled + free[s]), F.lit(s)).otherwise(other)
+            filled += free[s]
+        among = F.max_by(F.when(open_, F.col("_label")), F.struct(open_, F.col("_n"), F.xxhash64("_g1", "_label")))
+        best = votes.groupBy("_g1", "_g2").agg(F.when(whole, F.max_by("_label", "_n")).otherwise(F.coalesce(among, other)).cast("int").alias("_want"))
         asked = members.join(best, ["_g1", "_g2"])
         flows = asked.groupBy("_label", "_want").agg(F.count("*").alias("_n")).collect()  # shards x shards rows at most
-        held, wanted = [0] * shards, [0] * shards
+        wanted = [0] * shards
         for f in flows:
-            held[f["_label"]] += f["_n"]
             if f["_want"] != f["_label"]:
                 wanted[f["_want"]] += f["_n"]
         if not any(wanted):
@@ -40,7 +69,7 @@ def propagate(members: DataFrame, shards: int, quota: int, rounds: int) -> DataF
         chance = F.pmod(mover, F.lit(1 << 30)).cast("double") / float(1 << 30)
         moves = (F.col("_want") != F.col("_label")) & (chance < F.element_at(room, F.col("_want") + 1))
         members = settle(asked.select("_row", "_g1", "_g2", "_size", F.when(moves, F.col("_want")).otherwise(F.col("_label")).alias("_label")))
-    return members
+    return members if fixed is None else members.unionByName(fixed)
 
 
 def shard_rows(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -301,6 +301,20 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_sharding_keeps_groups_together_beside_a_hot_one(spark):
+    n = 24_000
+    text = F.when(F.col("id") < n // 3, "hot").when(F.col("id") < n // 3 + n // 5, F.concat(F.lit("g"), F.floor(F.col("id") / 3))).otherwise(F.concat(F.lit("u"), "id"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(8)
+    got = sharding.shard_rows(docs).withColumn("text", F.col("text_crc32"))
+    by = got.where("linked").groupBy("text", "shard").count().collect()
+    hot = sorted((r["count"] for r in by if r.text == zlib.crc32(b"hot")), reverse=True)
+    assert sum(hot) == n // 3 and sum(h * h for h in hot) / sum(hot) ** 2 > 0.32  # 0.34 packed, 0.125 at random
+    small = collections.Counter(r.text for r in by if r.text != zlib.crc32(b"hot"))
+    assert sum(c > 1 for c in small.values()) < 0.01 * len(small)
+    counts = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE_SQL[name])
