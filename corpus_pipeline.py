@@ -41,9 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with shard and slot. Rows are numbered as they are read from the stage before, the same each time."""
-    dealt = sharding.shard_rows(docs).select("_row", "shard", "slot")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dealt, "_row").select(*docs.columns, "shard", "slot")
+    """The rows with shard and slot. Rows are numbered once and written down: a second scan may split the files, so number the rows, otherwise."""
+    path = fresh_path(spark, "pipeline-rows")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    dealt = sharding.shard_rows(numbered, row_col="_row").select("_row", "shard", "slot")
+    return numbered.join(dealt, "_row").select(*docs.columns, "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -72,13 +72,13 @@ def propagate(members: DataFrame, shards: int, quota: int, rounds: int) -> DataF
     return members if fixed is None else members.unionByName(fixed)
 
 
-def shard_rows(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(_row, doc_id, size, text_crc32, linked, shard, slot): slot counts from 0 in each shard, without gaps.
 
-    Slots are numbered in buckets of about PER_BUCKET rows, so no task sorts a whole shard."""
+    _row is ``row_col``, distinct longs, or a number given here. Slots are numbered in buckets of about PER_BUCKET rows, so no task sorts a whole shard."""
     utf8 = F.encode(text_of(text_col), "UTF-8")
     g1, g2 = fingerprint(text_of(text_col))
-    rows = settle(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), (F.octet_length(utf8) + 1).cast("long").alias("_bytes"), F.crc32(utf8).alias("_crc"), g1.alias("_g1"), g2.alias("_g2")))
+    rows = settle(docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"), F.col(id_col).alias("_id"), (F.octet_length(utf8) + 1).cast("long").alias("_bytes"), F.crc32(utf8).alias("_crc"), g1.alias("_g1"), g2.alias("_g2")))
     groups = rows.groupBy("_g1", "_g2").agg(F.count("*").alias("_size")).where("_size > 1")
     first = F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("null")), "_g1"), F.lit(shards)).cast("int")
     members = settle(rows.join(groups, ["_g1", "_g2"]).select("_row", "_g1", "_g2", "_size", first.alias("_label")))

@@ -32,3 +32,18 @@ def test_stages(spark, tmp_path):
     assert seen["sharding"].count() == seen["mixing"].count() > 0
     counts = [r["count"] for r in seen["sharding"].groupBy("shard").count().collect()]
     assert max(counts) - min(counts) <= 1
+
+
+def test_shards_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 3000) AS text").repartition(16).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    dealt = corpus_pipeline.deal_shards(spark, docs, SF)
+    name = "spark.sql.files.maxPartitionBytes"
+    told = spark.conf.get(name)
+    spark.conf.set(name, "4k")  # as executors that come or go change the splits between two plans
+    try:
+        rows = dealt.collect()
+    finally:
+        spark.conf.set(name, told)
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+    assert len({(r.shard, r.slot) for r in rows}) == 4000
