@@ -10,6 +10,8 @@ at; a source with weight 0, or absent from given weights, gives no rows; an empt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ SEED = "mix-1"
 #: Target weight of a source: its number of documents to this power (1: as found; 0: all sources alike).
 TEMPERATURE = 0.5
 BROADCAST_ROWS = 20_000
+#: Means up to which the draw starts at exp(-mean).
+EXACT = 700.0
 
 
 def source_rates(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None, source_col: str = "source") -> DataFrame:
@@ -36,11 +40,17 @@ def source_rates(docs: DataFrame, *, weights: dict[str, float] | None = None, te
 
 
 def poisson_inverse(rate: Column, u: Column) -> Column:
-    """The least k with P(X <= k) > u, X Poisson of the given mean; means up to about 700 (exp underflows beyond).
-
-    The fold stops at mean + 12 deviations + 40, where the tail is below the 52 bits of u."""
-    steps = F.sequence(F.lit(1), (rate + F.sqrt(rate) * 12 + 40).cast("int"))
-    zero = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+    """The least k with P(X <= k) > u, X Poisson of the given mean.
+
+    The fold stops at mean + 12 deviations + 40, where the tail is below the 52 bits of u. Means above EXACT, where exp(-mean) would
+    underflow, start as far below the mean, at a probability by Stirling's series."""
+    spread = F.sqrt(rate) * 12 + 40
+    first = F.when(rate > EXACT, F.floor(rate - spread)).otherwise(0).cast("int")
+    k = F.greatest(first, F.lit(1)).cast("double")
+    log_p = k - rate + k * F.log(rate / k) - F.log(k * (2 * math.pi)) / 2 - 1 / (k * 12) + 1 / (k * k * k * 360)
+    p0 = F.when(rate > EXACT, F.exp(log_p)).otherwise(F.exp(-rate))
+    steps = F.sequence(first + 1, (rate + spread).cast("int"))
+    zero = F.struct(p0.alias("p"), p0.alias("c"), first.alias("k"))
 
     def step(a: Column, i: Column) -> Column:
         p = a["p"] * rate / i

@@ -104,6 +104,13 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.poisson_mix(empty, mixing.source_rates(empty)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [699.0, 701.0, 1000.0, 200_000.0])
+def test_mixing_draws_at_high_rates(spark, rate):
+    grid = spark.range(2000).select(mixing.poisson_inverse(F.col("id") * 0 + F.lit(rate), (F.col("id") + 0.5) / 2000).alias("k"))
+    mean, deviation = grid.agg(F.avg("k"), F.stddev("k")).first()
+    assert mean == pytest.approx(rate, abs=0.01 * rate**0.5) and deviation == pytest.approx(rate**0.5, rel=0.01)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(3)
     rows, marks = [], []
