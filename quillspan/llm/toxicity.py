@@ -7,10 +7,11 @@ the sum of its rows. Filters of several widths slide over the word vectors, each
 Whole texts are scored, a batch of rows at a time in one vectorised pass: word bounds from byte classes, hashes from
 prefix sums of a polynomial, modulo 2^64. At scoring the embeddings and filters are one matrix product per chunk of words.
 
-The driver trains on a bounded sample: at most ``max_per_label`` labelled rows of each label, those least by a hash of the
-doc_id, and of these no more than ``max_train_bytes`` of text. Defined cases: null and empty texts have no words, pool to
+The driver trains on a bounded sample: at most ``max_per_label`` labelled documents of each label, those least by a hash of the
+doc_id, and of these, in the order of another hash, as many as hold ``max_train_bytes`` of text together; the executors apply both
+bounds. Of rows that repeat a doc_id the shortest is learnt. Defined cases: null and empty texts have no words, pool to
 zero and get a score like any other; labels other than 0 and 1, null labels and labels without a document are left out;
-repeated labels of a document count once, toxic if any is; without labels of both kinds the score is 0.5 for every row;
+repeated labels of a document count once, toxic if any is; without labels of both kinds the score is 0.5 for every row and the threshold 1, so none is rejected;
 a null or unknown language has the common threshold; empty tables give an empty result. The score depends on the text alone.
 """
 
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import small_batches, table, text_of
+from .base import settle, small_batches, table, text_of
 from .words import Scan, grouped
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 12, (1, 2, 3), 10
@@ -92,8 +93,10 @@ class Model:
             firsts = bounds[has]
             best = np.maximum.reduceat(y, firsts, axis=0)
             if where:
-                hit = y == np.repeat(best, np.diff(np.append(firsts, count)), axis=0)
+                low = firsts[0]  # texts before it have fewer than k words
+                hit = y[low:] == np.repeat(best, np.diff(np.append(firsts, count)), axis=0)
                 rows, cols = np.nonzero(hit)
+                rows += low
                 text = owner[rows]
                 spot = np.full((n, FILTERS), -1, np.int64)
                 spot[text[::-1], cols[::-1]] = rows[::-1]  # the first of equals
@@ -209,7 +212,8 @@ class Classifier:
         self.model, self.common, self.by_language = model, common, by_language
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, max_per_label: int) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, max_per_label: int, max_train_bytes: int) -> DataFrame:
+    """(_id, _text, _lang, _toxic): one row per chosen id, of no more than max_train_bytes of text together."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_lid")).agg(F.max("toxic").alias("_toxic"))
     rows = docs.select(F.col("doc_id").alias("_id"), text_of("text").alias("_text"), F.col("lang").cast("string").alias("_lang"), F.xxhash64("doc_id", F.lit(SEED)).alias("_h"))
     rows = rows.where(keep) if keep is not None else rows
@@ -218,23 +222,32 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, max_p
     for label in (0, 1):
         cut = ids.where(F.col("_toxic") == label).orderBy("_h", "_lid").limit(max_per_label)
         bounds.append(cut)
-    chosen = bounds[0].unionByName(bounds[1]).select("_lid", "_toxic")
-    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_text", "_lang", "_toxic")  # 2 x max_per_label ids at most
+    chosen = F.broadcast(bounds[0].unionByName(bounds[1]).select("_lid", "_toxic"))  # 2 x max_per_label ids at most
+    sized = rows.join(chosen, F.col("_id") == F.col("_lid")).withColumn("_size", F.octet_length(F.encode("_text", "UTF-8")).cast("long"))
+    # One row of an id: the least (size, hash of the text, language).
+    least = F.min(F.struct("_size", F.xxhash64("_text").alias("_x"), F.coalesce("_lang", F.lit("")).alias("_l"))).alias("_s")
+    one = settle(sized.groupBy("_lid").agg(least, F.first("_toxic").alias("_toxic")).select("_lid", "_toxic", "_s.*", F.xxhash64("_lid", F.lit(SEED + 1)).alias("_turn")))
+    left, last = max_train_bytes, None
+    for r in sorted(one.select("_turn", "_size").collect()):  # 2 x max_per_label pairs of numbers at most
+        left -= r["_size"]
+        if left < 0:
+            break
+        last = r["_turn"]
+    within = one.where(F.lit(False) if last is None else F.col("_turn") <= last)
+    met = rows.join(F.broadcast(within), (F.col("_id") == F.col("_lid")) & (F.xxhash64("_text") == F.col("_x")) & (F.coalesce("_lang", F.lit("")) == F.col("_l")))
+    return met.groupBy("_id").agg(F.first("_text").alias("_text"), F.first("_lang").alias("_lang"), F.first("_toxic").alias("_toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, keep: Column | None = None, max_per_label: int = MAX_PER_LABEL, max_train_bytes: int = MAX_TRAIN_BYTES) -> Classifier:
     """Train, scale and find thresholds. ``keep``: which documents may be learnt from, over columns _id and _text."""
-    rows, size = [], 0
-    for r in sorted(labelled_rows(docs, labels, keep, max_per_label).toLocalIterator(), key=lambda r: (zlib.crc32(str(r["_id"]).encode()), str(r["_id"]), r["_text"])):
-        data = r["_text"].encode("utf-8", "surrogatepass")
-        if size + len(data) <= max_train_bytes:
-            rows.append((data, r["_lang"], r["_toxic"]))
-            size += len(data)
+    found = labelled_rows(docs, labels, keep, max_per_label, max_train_bytes).collect()  # 2 x max_per_label rows and max_train_bytes at most
+    found.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), str(r["_id"])))
+    rows = [(r["_text"].encode("utf-8", "surrogatepass"), r["_lang"], r["_toxic"]) for r in found]
     toxic = np.array([r[2] for r in rows], np.float32)
     held = np.arange(len(rows)) % 5 == 4
     model = train([r[0] for r, h in zip(rows, held, strict=True) if not h], toxic[~held])
     if not model.trained:
-        return Classifier(model, 0.5, {})
+        return Classifier(model, 1.0, {})
     texts, y = [r[0] for r, h in zip(rows, held, strict=True) if h], toxic[held]
     raw = np.concatenate([model.logits(*hash_in_parts(texts[i : i + 200])) for i in range(0, len(texts), 200)]) if texts else np.zeros(0)
     calibrate(model, raw, y)

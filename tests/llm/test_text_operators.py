@@ -132,6 +132,39 @@ def test_toxicity(spark, empty):
     assert {r._score for r in toxicity.score_texts(docs, blank).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("first", ["", "solo", "one two", "one two three"])
+def test_pooling_of_short_first_texts(first):
+    model = toxicity.Model()
+    for others in ([], ["a b c d e"], ["", "x", "a b c d", "y z", ""]):
+        texts = [first, *others]
+        f, b = toxicity.hash_words([t.encode() for t in texts])
+        pooled, at = model.pool(f, b, where=True)
+        x = sum(model.e[f[:, j]] for j in range(f.shape[1]))
+        for i, t in enumerate(texts):
+            for c, k in enumerate(toxicity.WIDTHS):
+                for j in range(toxicity.FILTERS):
+                    y = [sum(x[p + o] @ model.w[k][o][:, j] for o in range(k)) for p in range(b[i], b[i + 1] - k + 1)]
+                    col = c * toxicity.FILTERS + j
+                    assert pooled[i, col] == pytest.approx(max([0.0, *y]), abs=1e-5)
+                    assert at[i, col] == (b[i] + int(np.argmax(y)) if y and max(y) > 0 else -1)
+
+
+def test_toxicity_training_bounds(spark, empty):
+    rows = [(i, "word " * (i % 7) + ("vile" if i % 2 else "fine"), "en", "s", i, "k", "r") for i in range(60)] + [(3, "another text of three, and a longer one", None, "s", 1, "k", "r")] * 5
+    docs = spark.createDataFrame([*rows, (61, None, None, None, None, None, None), (61, None, None, None, None, None, None), (None, "x", "en", "s", 1, "k", "r")], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(61, 1), (3, 1), (70, 0), (None, 1), (4, None), (5, 7)], "doc_id long, toxic int")
+    got = toxicity.labelled_rows(docs, labels, None, 20, 10_000).collect()
+    assert len(got) == len({r._id for r in got}) == 40 and sum(r._toxic for r in got) == 20
+    assert all(r._text == next((t or "" for i, t, *_ in rows if i == r._id), "") for r in got)
+    small = toxicity.labelled_rows(docs, labels, None, 20, 300).collect()
+    assert small and sum(len(r._text) for r in small) <= 300 and {r._id for r in small} < {r._id for r in got}
+    assert toxicity.labelled_rows(docs, labels, None, 20, 0).where("_text <> ''").count() == 0
+    one_label = toxicity.fit(docs, labels.where("toxic = 1"))
+    kept = toxicity.score_texts(docs, one_label).where(F.col("_score") < toxicity.threshold_of(F.col("lang"), one_label))
+    assert kept.count() == docs.count(), "an untrained classifier rejects nothing"
+    assert toxicity.labelled_rows(empty, labels, None, 20, 300).count() == 0
+
+
 def test_order_minhash(docs, rows, empty):
     texts = sorted({t or "" for _, t, *_ in rows})
     sets = {t: shingles(w, 5) for t, w in zip(texts, word_hashes([t.encode() for t in texts]), strict=True)}
