@@ -13,8 +13,12 @@ occurs twice go on; their pieces are grouped by gram, and each task transforms c
 pieces are cut to what another one shares with them around the anchor (by sorting what follows and what precedes it), those
 cut below ``length`` bytes are left out, as they cannot recur, and equal ones are one string with a mark that it stands for several.
 
-Groups of more than ``max_group`` different pieces take an exact way instead, so that no task holds an unbounded group: 128-bit
-hashes of their passages are counted by Spark, with partial sums before the shuffle.
+A group of more than ``max_group`` different pieces is parted first, so that no task holds an unbounded group. The distance from
+a passage's start to its anchor is cut into cells of CELLS[0] distances, then CELLS[1] and so on. All passages of a cell hold the
+same stretch around the anchor, its core: pieces' parts of one cell are a group of their own if their cores are equal. Equal
+passages have equal distances and cores, so they still meet. Equal parts are one string; a part alone in its group recurs nowhere
+and goes; parts of a group that is still crowded are cut into finer cells, down to single passages, which are their core. All other groups are
+transformed, whatever their way. Cells hold hashes; bytes move only for parts that are transformed or cut again.
 
 Texts are keyed by their MD5, so copies are one text; a copied text of ``length`` bytes or more is removed whole. Defined cases:
 null and empty texts have nothing to remove; texts under ``length`` bytes recur nowhere; repeated rows and null ids are copies
@@ -35,9 +39,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import release, settle, small_batches, table, text_of
-from .words import PRIME, U, _powers, mix
+from .words import U, mix
 
-LENGTH, GRAM, MAX_GROUP, COLLECTION, SEGMENT = 400, 32, 400, 64 << 10, 1 << 20
+LENGTH, GRAM, MAX_GROUP, COLLECTION, SEGMENT = 400, 32, 64, 64 << 10, 1 << 20
+CELLS = (64, 8, 1)
+#: Keys a task remembers to spare itself repeats; beyond that it forgets them all.
+REMEMBERED = 1 << 17
 
 
 # ---- the transform ----------------------------------------------------------------------------------------------------
@@ -279,6 +286,8 @@ def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
                     seen.add(key)
                     found.append(anchors(utf8(text), length))
                     keys.append(key)
+            if len(seen) > REMEMBERED:  # repeated rows do no harm
+                seen.clear()
             if not found:
                 continue
             sizes = [len(f[0]) for f in found]
@@ -309,6 +318,8 @@ def piece_table(texts: DataFrame, length: int) -> DataFrame:
                     for row, x in zip(rows, (p["_gram"], pid, off, key, first, None if pid in given else piece), strict=True):
                         row.append(x)
                     given.add(pid)
+                if len(given) > REMEMBERED:
+                    given.clear()
                 if len(rows[0]) > 5000:
                     yield batch_of(rows, kinds, names)
                     rows = [[] for _ in names]
@@ -319,58 +330,102 @@ def piece_table(texts: DataFrame, length: int) -> DataFrame:
 
 
 def transform_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """(_pid, _runs) of pieces(_gram, _pid, _off, _piece), dealt and sorted by gram: runs of starts that recur in the group."""
+    """(_pid, _runs) of pieces(_group, _pid, _off, _piece, _several, _shift), dealt and sorted by group: runs of starts that recur in the group, moved by _shift."""
     kinds, names = [pa.binary(), pa.list_(pa.int64())], ["_pid", "_runs"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        collector, gram, group = Collector(length), None, []
+        collector, last, group = Collector(length), None, []
 
         def out(rows: list) -> pa.RecordBatch:
-            return batch_of([[r[0] for r in rows], [r[1] for r in rows]], kinds, names)
+            return batch_of([[number[0] for number, _ in rows], [[x + number[1] for x in runs] for number, runs in rows]], kinds, names)
 
         for batch in batches:
             rows: list = []
-            for g, pid, off, piece, several in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if g != gram:
+            for g, pid, off, piece, several, shift in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if g != last:
                     rows.extend(collector.add(group))
-                    gram, group = g, []
-                group.append((pid, piece, off, several))
+                    last, group = g, []
+                group.append(((pid, shift), piece, off, several))
             if rows:
                 yield out(rows)
         if rows := [*collector.add(group), *collector.flush()]:
             yield out(rows)
 
-    return pieces.select("_gram", "_pid", "_off", "_piece", "_several").mapInArrow(work, "_pid binary, _runs array<bigint>")
+    dealt = pieces.repartition("_group").sortWithinPartitions("_group")
+    return dealt.select("_group", "_pid", "_off", "_piece", "_several", "_shift").mapInArrow(work, "_pid binary, _runs array<bigint>")
 
 
-def passage_hashes(piece: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the passage from each start, from prefix sums of a polynomial."""
-    data = np.frombuffer(piece, np.uint8).astype(U) + U(1)
-    out = []
-    for base in (PRIME, 0x9E3779B97F4A7C15):
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(data + U(base & 0xFFFF)) * _powers(base, len(data)))))
-        n = len(data) - length + 1
-        out.append(mix((sums[length:] - sums[:-length]) * _powers(pow(base, -1, 1 << 64), n)).view(np.int64))
-    return out[0], out[1]
+# ---- crowded groups ---------------------------------------------------------------------------------------------------
+
+
+def starts_of(off: int, size: int, cell: int, width: int, length: int) -> tuple[int, int, int]:
+    """(first, last, core end) for the cell of the distances from ``cell`` on, in a piece of ``size`` bytes with its anchor at ``off``: the starts, and where the core ends, which begins at off - cell."""
+    least = off - min(cell + width, length - GRAM + 1) + 1
+    return max(0, least), min(off - cell, size - length), least + length
 
 
-def hashed_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """(_pid, _runs) of the pieces of crowded groups, by counting passages: those of two different (piece, start)."""
+def cell_table(todo: DataFrame, width: int, length: int) -> DataFrame:
+    """(_group, _sub, _pid, _cell, _first, _last, _several) of todo(_pid, _off, _piece, _cells): a row per cell of ``width`` distances.
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _group stands for cell and core, _sub for the part's bytes and its place around the anchor. _cells: (from, to, several)."""
+    kinds, names = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()], ["_group", "_sub", "_pid", "_cell", "_first", "_last", "_several"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pid, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = passage_hashes(piece, length)
-                yield pa.RecordBatch.from_arrays([pa.array([pid] * len(a), pa.binary()), pa.array(np.arange(len(a))), pa.array(a), pa.array(b)], names=["_pid", "_start", "_h1", "_h2"])
+            rows = []
+            for pid, off, piece, cells in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for c in cells:
+                    for cell in range(c["from"], c["to"], width):
+                        first, last, end = starts_of(off, len(piece), cell, width, length)
+                        if first <= last:
+                            place = b"%d:%d:" % (cell, width)
+                            core = piece[off - cell : end]
+                            part = b"%d:" % (off - first) + piece[first : last + length]
+                            rows.append((hashlib.md5(place + core).digest(), hashlib.md5(part).digest(), pid, cell, first, last, c["several"]))
+            if rows:
+                yield batch_of(list(zip(*rows, strict=True)), kinds, names)
+
+    return todo.select("_pid", "_off", "_piece", "_cells").mapInArrow(cut, "_group binary, _sub binary, _pid binary, _cell int, _first int, _last int, _several boolean")
 
-    def runs(starts: Column) -> Column:
-        s = F.array_sort(starts)
-        return F.transform(s, lambda x: F.array(x, x))
 
-    rows = settle(pieces.select("_pid", "_piece").mapInArrow(hashes, "_pid binary, _start long, _h1 long, _h2 long"))
-    place = F.struct("_pid", "_start")
-    again = settle(rows.groupBy("_h1", "_h2").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where("_lo <> _hi").select("_h1", "_h2"))
-    return rows.join(again, ["_h1", "_h2"]).groupBy("_pid").agg(F.flatten(runs(F.collect_set("_start"))).alias("_runs"))
+def part_table(asked: DataFrame, width: int, length: int) -> DataFrame:
+    """(_group, _pid, _off, _piece, _several, _shift): the parts of asked(_pid, _off, _piece, _parts) with their bytes."""
+    kinds, names = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.int32()], ["_group", "_pid", "_off", "_piece", "_several", "_shift"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pid, off, piece, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for x in parts:
+                    first, last, _ = starts_of(off, len(piece), x["_cell"], width, length)
+                    rows.append((x["_group"], pid, off - first, piece[first : last + length], x["_sure"], first))
+            if rows:
+                yield batch_of(list(zip(*rows, strict=True)), kinds, names)
+
+    return asked.select("_pid", "_off", "_piece", "_parts").mapInArrow(cut, "_group binary, _pid binary, _off int, _piece binary, _several boolean, _shift int")
+
+
+def crowded_groups(pieces: DataFrame, length: int, max_group: int) -> list[DataFrame]:
+    """Tables of (_pid, _runs) that tell all that recurs among pieces(_pid, _off, _piece, _several) of crowded groups, beside what _several tells.
+
+    A round per width of CELLS. Of equal parts one goes on, marked: what they share is told at once for all of them."""
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(length - GRAM + 1).alias("to"), F.col("_several").alias("several")))
+    todo = settle(pieces.select("_pid", "_off", "_piece", whole.alias("_cells")))
+    out = []
+    for width in CELLS:
+        rows = settle(cell_table(todo, width, length))
+        parts = settle(rows.groupBy("_group", "_sub").agg(F.min("_pid").alias("_pid"), F.first("_cell").alias("_cell"), F.count("*").alias("_n"), F.max("_several").alias("_several")))
+        shared = rows.join(parts.where("_n > 1").select("_group", "_sub"), ["_group", "_sub"])
+        out.append(settle(shared.select("_pid", F.array("_first", "_last").cast("array<bigint>").alias("_runs"))))
+        crowd = parts.groupBy("_group").agg(F.count("*").alias("_parts")).where("_parts > 1")
+        left = settle(parts.join(crowd, "_group").select("_group", "_pid", "_cell", "_parts", (F.col("_several") | (F.col("_n") > 1)).alias("_sure")))
+        few = left.where(F.col("_parts") <= max_group).groupBy("_pid").agg(F.collect_list(F.struct("_group", "_cell", "_sure")).alias("_parts"))
+        out.append(settle(transform_groups(part_table(todo.join(few, "_pid"), width, length), length)))
+        many = left.where(F.col("_parts") > max_group).groupBy("_pid").agg(F.collect_list(F.struct(F.col("_cell").alias("from"), F.least(F.col("_cell") + width, F.lit(length - GRAM + 1)).alias("to"), F.col("_sure").alias("several"))).alias("_cells"))
+        todo = settle(todo.drop("_cells").join(many, "_pid"))
+        if not todo.limit(1).count():  # single passages are equal where their cores are
+            break
+    return out
 
 
 def find_passages(keyed: DataFrame, *, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
@@ -394,11 +449,12 @@ def find_passages(keyed: DataFrame, *, length: int = LENGTH, max_group: int = MA
     release(spark)
     crowd = settle(different.groupBy("_gram").agg(F.count("*").alias("_n")))
     several = different.where("_several").select("_pid", F.array(F.lit(0).cast("long"), F.octet_length("_piece") - F.lit(length)).alias("_runs"))
-    grouped = different.join(crowd.where(f"_n > 1 and _n <= {max_group}").select("_gram"), "_gram").repartition("_gram").sortWithinPartitions("_gram")
-    runs = settle(transform_groups(grouped, length)).unionByName(several)
+    grouped = different.join(crowd.where(f"_n > 1 and _n <= {max_group}").select("_gram"), "_gram")
+    runs = settle(transform_groups(grouped.select(F.col("_gram").alias("_group"), "_pid", "_off", "_piece", "_several", F.lit(0).alias("_shift")), length)).unionByName(several)
     big = crowd.where(f"_n > {max_group}").select("_gram")
     if big.limit(1).count():
-        runs = runs.unionByName(hashed_groups(different.join(big, "_gram"), length))
+        for told in crowded_groups(different.join(big, "_gram"), length, max_group):
+            runs = runs.unionByName(told)
     placed = members.join(runs, "_pid").select("_key", F.transform("_runs", lambda x: x + F.col("_first")).alias("_runs"))
     out = settle(placed.groupBy("_key").agg(F.flatten(F.collect_list("_runs")).alias("_runs")))
     del different, members, crowd, several, grouped, runs, big, placed
