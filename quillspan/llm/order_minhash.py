@@ -34,12 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import settle, small_batches, table, text_of
-from .components import components
+from .components import components, extended
 from .words import mix, occurrences, shingles, word_hashes
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 24
 SHORT, LONG, SHORT_TEXT = 2, 5, 32
 BITS, BLOCK = 4096, 1024  # of an outline; keys that are held against each other in one unit of work
+PART = 64  # pairs of one text that are verified together
+#: Keys a task remembers to spare itself repeats; beyond that it forgets them all.
+REMEMBERED = 1 << 17
 SALTS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -164,6 +167,8 @@ def sketch_keys(keyed: DataFrame) -> DataFrame:
                     seen.add(key)
                     keys.append(key)
                     texts.append(text.encode("utf-8", "surrogatepass"))
+            if len(seen) > REMEMBERED:  # the rows are made distinct anyway
+                seen.clear()
             found = [buckets_of(w) for w in word_hashes(texts)]
             sizes = np.array([len(f) for f in found], np.int64)
             column = pa.array(np.repeat(np.array(keys, object), sizes).tolist(), pa.binary())
@@ -173,31 +178,40 @@ def sketch_keys(keyed: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs(_a, _b)`` with _ok. Leaders' texts go to their pairs; a leader of many pairs is one text row against many keys."""
-    both = pairs.join(texts.select(F.col("_key").alias("_a"), F.col("_text").alias("_ta")), "_a").join(texts.select(F.col("_key").alias("_b"), F.col("_text").alias("_tb")), "_b")
+    """``pairs(_a, _b)`` with _ok. The pairs of one _a go in parts of about PART; its text is sent once to each part, not to each pair."""
+    many = pairs.groupBy("_a").agg(F.count("*").alias("_n")).where(F.col("_n") > PART)
+    parts = F.coalesce(F.ceil(F.col("_n") / PART), F.lit(1)).cast("int")
+    placed = settle(pairs.join(many, "_a", "left").select("_a", "_b", F.pmod(F.xxhash64("_b"), parts).cast("int").alias("_part")))
+    heads = placed.select("_a", "_part").distinct().join(texts.select(F.col("_key").alias("_a"), "_text"), "_a").select("_a", "_part", F.lit(None).cast("binary").alias("_b"), "_text")
+    mates = placed.join(texts.select(F.col("_key").alias("_b"), "_text"), "_b").select("_a", "_part", "_b", "_text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_key, known = None, None
+        known = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            out = []
+            a, b, texts = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            left, right, out = [], [], []
             for i in range(len(a)):
-                if a[i] != known_key:  # pairs of one leader often follow each other
-                    known_key, known = a[i], shingles(word_hashes([ta[i].encode("utf-8", "surrogatepass")])[0], SHINGLE)
-                out.append(aligned(known, shingles(word_hashes([tb[i].encode("utf-8", "surrogatepass")])[0], SHINGLE), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["_a", "_b", "_ok"])
+                found = shingles(word_hashes([texts[i].encode("utf-8", "surrogatepass")])[0], SHINGLE)
+                if b[i] is None:  # the part's own text comes first
+                    known = found
+                    continue
+                left.append(a[i])
+                right.append(b[i])
+                out.append(aligned(known, found, similarity))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(out, pa.bool_())], names=["_a", "_b", "_ok"])
 
-    return both.select("_a", "_b", "_ta", "_tb").mapInArrow(check, "_a binary, _b binary, _ok boolean")
+    dealt = heads.unionByName(mates).repartition("_a", "_part").sortWithinPartitions("_a", "_part", F.col("_b").asc_nulls_first())
+    return dealt.mapInArrow(check, "_a binary, _b binary, _ok boolean")
 
 
 def compare_with_leaders(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """One star per bucket of buckets(_bucket, _key, _n): its pairs, with _ok.
+    """One star per bucket of buckets(_bucket, _key, _n): its pairs (leader, key), with _ok.
 
     The leader is the key whose buckets are the most crowded: among edited copies of one text, the one with the fewest edits."""
     weight = buckets.groupBy("_key").agg(F.sum("_n").alias("_w"))
     heads = settle(buckets.join(weight, "_key").groupBy("_bucket").agg(F.max_by("_key", F.struct("_w", "_key")).alias("_head")))
-    met = buckets.join(heads, "_bucket").where(F.col("_key") != F.col("_head")).select(F.least("_key", "_head").alias("_a"), F.greatest("_key", "_head").alias("_b"))
-    return settle(verify(met.distinct(), texts, similarity))
+    met = buckets.join(heads, "_bucket").where(F.col("_key") != F.col("_head")).select(F.col("_head").alias("_a"), F.col("_key").alias("_b"))
+    return settle(verify(settle(met.distinct()), texts, similarity))
 
 
 def outline(shingled: np.ndarray) -> bytes:
@@ -245,17 +259,12 @@ def allowed(rows: list[tuple], across: bool, similarity: float, nearest: bool) -
         yield rows[i][1], rows[k][1]
 
 
-def compare_rest(buckets: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """``tested`` and, verified, the bucket mates that its links leave in two classes and that may be similar; with ``nearest``, one for each key and unit.
+def compare_rest(asked: DataFrame, drawn: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Verified pairs, beside ``tested``, of bucket mates asked(_bucket, _key, _n, _label) that are in two classes and may be similar; with ``nearest``, one for each key and unit.
 
     A unit is two blocks of a bucket, so no task holds more than 2 x BLOCK outlines about."""
-    labels = components(tested.where("_ok").select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_key"), "label")
-    named = settle(buckets.join(labels, "_key", "left").select("_bucket", "_key", "_n", F.coalesce("label", "_key").alias("_label")))
-    several = named.groupBy("_bucket").agg(F.min("_label").alias("_l0"), F.max("_label").alias("_l1")).where("_l0 != _l1").select("_bucket")
-    asked = settle(named.join(several, "_bucket"))
-    drawn = outlines(texts.join(asked.select("_key").distinct(), "_key"))
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    placed = asked.join(settle(drawn), "_key").withColumn("_side", F.pmod(F.xxhash64("_key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = asked.join(drawn, "_key").withColumn("_side", F.pmod(F.xxhash64("_key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     units = placed.select("_bucket", F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi"), "_side", "_key", "_label", "_len", "_bits")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +284,8 @@ def compare_rest(buckets: DataFrame, tested: DataFrame, texts: DataFrame, simila
             yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in part], pa.binary()) for f in (min, max)], names=["_a", "_b"])
 
     mates = units.repartition("_bucket", "_lo", "_hi").sortWithinPartitions("_bucket", "_lo", "_hi").mapInArrow(pair, "_a binary, _b binary").distinct()
-    return settle(tested.unionByName(verify(settle(mates.join(tested, ["_a", "_b"], "left_anti")), texts, similarity)))
+    known = tested.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+    return settle(verify(settle(mates.join(known, ["_a", "_b"], "left_anti")), texts, similarity))
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -285,14 +295,27 @@ def crowded(rows: DataFrame) -> DataFrame:
     return settle(rows.join(full, "_bucket"))
 
 
-def near_links(keyed: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between different texts of ``keyed(_key, _text)`` that connect each class."""
+def links_of(tested: DataFrame) -> DataFrame:
+    return tested.where("_ok").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+
+def near_classes(keyed: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the texts of ``keyed(_key, _text)`` that have a verified link: label names the class."""
     buckets = crowded(sketch_keys(keyed))
     texts = settle(keyed.join(buckets.select("_key").distinct(), "_key").groupBy("_key").agg(F.first("_text").alias("_text")))
     tested = compare_with_leaders(buckets, texts, similarity)
-    for nearest in (True, False):
-        tested = compare_rest(buckets, tested, texts, similarity, nearest)
-    return tested.where("_ok").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    labels, drawn = components(links_of(tested)), None
+    for nearest in (True, False):  # the links of the first pass spare the second most of its pairs
+        named = settle(buckets.join(labels.select(F.col("node").alias("_key"), "label"), "_key", "left").select("_bucket", "_key", "_n", F.coalesce("label", "_key").alias("_label")))
+        several = named.groupBy("_bucket").agg(F.min("_label").alias("_l0"), F.max("_label").alias("_l1")).where("_l0 != _l1").select("_bucket")
+        asked = settle(named.join(several, "_bucket"))
+        if not asked.limit(1).count():
+            break
+        if drawn is None:
+            drawn = settle(outlines(texts.join(asked.select("_key").distinct(), "_key")))
+        fresh = compare_rest(asked, drawn, tested, texts, similarity, nearest)
+        tested, labels, buckets = tested.unionByName(fresh), extended(labels, links_of(fresh)), asked.drop("_label")
+    return labels
 
 
 def key_of(text: Column) -> Column:
@@ -302,7 +325,7 @@ def key_of(text: Column) -> Column:
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _key, _label, class_id), a row per row of ``docs``: class_id is the least doc_id of the class; _key stands for the text, _label for the class."""
     keyed = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).select("_id", key_of(F.col("_text")).alias("_key"), "_text")
-    labels = components(near_links(keyed.select("_key", "_text"), similarity=similarity))
+    labels = near_classes(keyed.select("_key", "_text"), similarity=similarity)
     ids = settle(keyed.select("_id", "_key"))
     named = ids.join(labels.select(F.col("node").alias("_key"), "label"), "_key", "left").select("_id", "_key", F.coalesce("label", "_key").alias("_label"))
     named = settle(named)
