@@ -1,11 +1,14 @@
 """Secret scans: named patterns, and a battery of randomness tests under false-discovery control.
 
 Method: every token of MIN_TOKEN characters or more that mixes letters and digits is a candidate. Its encoding is inferred
-from its characters; under that alphabet it takes a chi-squared test of uniformity, a runs test and a serial-correlation
-test, combined as three times the least p-value. Each p-value asks whether the token could be a uniform random string.
-Over the whole corpus, per encoding and length class, Benjamini-Hochberg marks the tokens that are not random at the given
-false-discovery rate: length-aware, as long tokens are held against long ones, which have more power. What stands is a
-random string, and is reported as kind ``random``. Native Spark expressions throughout.
+from its characters; under that alphabet it takes chi-squared tests of uniformity, over the single characters and over their
+kinds, a runs test and a serial-correlation test, combined by the least p-value (Sidak). Each p-value asks whether the token could be a uniform random string.
+
+False discoveries are controlled on both sides, over the whole corpus, per encoding and length class: length-aware, as long
+tokens are held against long ones, which have more power. Benjamini-Hochberg marks the tokens that are not random. Of what
+stands, the share that is not random either is estimated: random tokens have uniform p-values, so twice those above 1/2 tell
+how many there are, and what a cut lets through beyond their part is false. The least cut whose false share is within the
+same rate holds; tokens above both cuts are reported as kind ``random``. Native Spark expressions throughout.
 
 Defined cases: a null or empty text has no spans; copies of a text all report; an empty table gives an empty result.
 A token whose characters lie all in one half of its alphabet, or are all alike, fails the runs test outright.
@@ -13,6 +16,9 @@ A token whose characters lie all in one half of its alphabet, or are all alike,
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +33,10 @@ BASE = (
 MIN_TOKEN = 20
 TOKEN = r"[A-Za-z0-9+/_-]{%d,}"
 FDR = 0.05
+#: Spans whose positions are added up together: the work per span is linear in it.
+STRETCH = 256
+#: p-values above 1/2 fill the bins up to this one.
+HALF_BIN = 2
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from narrow to wide: name, what all characters match, alphabet in code order.
 ENCODINGS = (
@@ -34,26 +44,45 @@ ENCODINGS = (
     ("base36", "^[0-9a-z]+$", DIGITS + LOWER), ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER), ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("base64", "^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"), ("base64url", "^.*$", UPPER + LOWER + DIGITS + "-_+/"),
 )
+#: Kinds of characters, whose shares are tested beside those of the single ones: few cells, so that short tokens tell too.
+CLASSES = ("[0-9]", "[a-z]", "[A-Z]", "[-+/_]")
 SPAN = "array<struct<start:int,end:int,size:int>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, end, length of the group), in code points.
 
-    The pieces between matches and the matches alternate, so their running lengths give the positions. The regex runs
-    once more as a filter, which spares most texts the rest."""
+    The pieces between matches and the matches alternate, so their running lengths give the positions: first within stretches
+    of STRETCH matches, then from stretch to stretch, so that no array grows by one element per match. The regex runs once
+    more as a filter, which spares most texts the rest."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.zip_with(found, sizes, lambda m, g: F.struct(F.char_length(m).alias("m"), F.char_length(g).alias("g"))), F.transform(gaps, lambda x: F.char_length(x)), lambda m, gap: F.struct(gap.alias("gap"), m["m"].alias("m"), m["g"].alias("g")))
+    matches = F.zip_with(found, sizes, lambda m, g: F.struct(F.char_length(m).alias("m"), F.char_length(g).alias("g")))
+    steps = F.filter(F.zip_with(matches, F.transform(gaps, lambda x: F.char_length(x)), lambda m, gap: F.struct(gap.alias("gap"), m["m"].alias("m"), m["g"].alias("g"))), lambda x: x["m"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + x["gap"]
         one = F.struct(s.alias("start"), (s + x["m"]).alias("end"), x["g"].alias("size"))
-        return F.when(x["m"].isNull(), a).otherwise(F.struct((s + x["m"]).alias("at"), F.concat(a["spans"], F.array(one)).alias("spans")))
+        return F.struct((s + x["m"]).alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
+
+    def stretches(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(all_), F.lit(STRETCH))
+        return F.transform(firsts, lambda i: F.aggregate(F.slice(all_, i, F.lit(STRETCH)), start, step))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["spans"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    def moved(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["at"])))
+        shift = lambda p, by: F.transform(p["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["size"].alias("size")))
+        return let(begins, lambda by: F.flatten(F.transform(parts, lambda p, i: shift(p, F.get(by, i)))))
+
+    none = F.expr(f"cast(array() as {SPAN})")
+    return F.when(text.rlike(pattern), let(steps, lambda all_: let(stretches(all_), moved))).otherwise(none)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -71,9 +100,21 @@ def of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+#: Coefficients of the normal tail (Abramowitz and Stegun 26.2.17).
+TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
 def tail(z: Column) -> Column:
-    """Upper tail of the normal distribution, logistic approximation (absolute error under 2e-4)."""
-    return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.07056 * z * z * z)))
+    """Upper tail of the normal distribution: absolute error under 1e-7 up to 5, the asymptotic series beyond it."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / F.lit((2 * math.pi) ** 0.5)
+    t = 1 / (1 + 0.2316419 * x)
+    near = F.lit(0.0)
+    for c in reversed(TAIL):
+        near = (near + c) * t
+    q = 1 / (x * x)
+    upper = density * F.when(x < 5, near).otherwise((1 - q * (1 - 3 * q * (1 - 5 * q))) / x)
+    return F.when(z < 0, 1 - upper).otherwise(upper)
 
 
 def encoding_of(token: Column) -> Column:
@@ -100,15 +141,28 @@ def test_tokens(tokens: DataFrame, token: str = "_token") -> DataFrame:
     var = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
     t = t.withColumn("_runs", changes).withColumn("_co", co).withColumn("_var", var)
 
+    spread = [F.lit(0.0)] * len(CLASSES)
+    for name, _, letters in ENCODINGS:
+        for i, kind in enumerate(CLASSES):
+            spread[i] = F.when(F.col("_enc") == name, len(re.findall(kind, letters)) / len(letters)).otherwise(spread[i])
+    t = t.withColumns({f"_share{i}": c for i, c in enumerate(spread)} | {f"_held{i}": F.char_length(F.regexp_replace(token, f"(?!{c}).", "")) for i, c in enumerate(CLASSES)})
+
+    # Each step's results are columns that the next one reads: its expressions would repeat them many times over.
     n, k, high = F.col("_n"), F.col("_k"), F.col("_n") - F.col("_low")
-    df = k - 1
-    chi = F.col("_sq") * k / n - n
-    z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    kinds, cells = F.lit(-1.0), F.lit(0.0)
+    for i in range(len(CLASSES)):
+        expected = n * F.col(f"_share{i}")
+        cells = cells + F.when(expected > 0, F.pow(F.col(f"_held{i}") - expected, F.lit(2.0)) / expected).otherwise(0.0)
+        kinds = kinds + (F.col(f"_share{i}") > 0).cast("double")
     mu = 2 * F.col("_low") * high / n + 1
-    z_runs = F.when((F.col("_low") == 0) | (high == 0), 10.0).otherwise(F.abs(F.col("_runs") - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(0.05))))
+    t = t.withColumns({"_chi": F.greatest(F.col("_sq") * k / n - n, F.lit(0.0)), "_df": k - 1, "_chi_kinds": cells, "_df_kinds": kinds, "_mu": mu, "_high": high})
+    normal = lambda chi, df: (F.cbrt(F.col(chi) / F.col(df)) - (1 - 2 / (9 * F.col(df)))) / F.sqrt(2 / (9 * F.col(df)))
+    z_runs = F.when((F.col("_low") == 0) | (F.col("_high") == 0), 10.0).otherwise(F.abs(F.col("_runs") - F.col("_mu")) / F.sqrt(F.greatest((F.col("_mu") - 1) * (F.col("_mu") - 2) / (n - 1), F.lit(0.05))))
     z_serial = F.when(F.col("_var") == 0, 10.0).otherwise(F.abs(F.col("_co") / F.col("_var") + 1 / n) * F.sqrt(n))
-    p = F.least(F.lit(1.0), 3 * F.least(tail(z_chi), 2 * tail(z_runs), 2 * tail(z_serial)))
-    t = t.withColumn("_p", p)
+    t = t.withColumns({"_z0": normal("_chi", "_df"), "_z1": normal("_chi_kinds", "_df_kinds"), "_z2": z_runs, "_z3": z_serial})
+    t = t.withColumns({f"_p{i}": sides * tail(F.col(f"_z{i}")) for i, sides in enumerate((1, 1, 2, 2))})
+    t = t.withColumn("_least", F.least(F.lit(1.0), "_p0", "_p1", "_p2", "_p3"))
+    t = t.withColumn("_p", F.when(F.col("_least") < 1e-6, 4 * F.col("_least")).otherwise(1 - F.pow(1 - F.col("_least"), F.lit(4.0))))
     size = F.least(F.floor(F.log2("_n")), F.lit(16)).cast("string")
     return t.withColumn("_stratum", F.concat_ws("/", "_enc", size)).withColumn("_bin", F.least(F.floor(-10 * F.log10(F.greatest("_p", F.lit(1e-40)))), F.lit(400)).cast("int"))
 
@@ -122,17 +176,23 @@ def candidates(text: Column, min_token: int) -> Column:
     return F.when(text.rlike(TOKEN % min_token), mixed).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)"))
 
 
-def structured_bins(tested: DataFrame, fdr: float) -> dict[str, int]:
-    """Per stratum, the least bin that Benjamini-Hochberg marks as not random.
+def random_bins(tested: DataFrame, fdr: float) -> dict[str, int]:
+    """Per stratum, the number of bins, from the greatest p-values on, that are reported.
 
     The counts are a row per stratum and bin, pre-aggregated: at most 8 encodings x 17 sizes x 401 bins for any corpus.
-    A p-value stands at its bin's upper end, which makes the step-up rule conservative."""
+    For Benjamini-Hochberg a p-value stands at its bin's upper end, which makes the step-up rule conservative."""
     counts = tested.groupBy("_stratum", "_bin").agg(F.count("*").alias("_c"))
-    down = Window.partitionBy("_stratum").orderBy(F.desc("_bin"))
     whole = Window.partitionBy("_stratum")
-    ranked = counts.withColumn("_rank", F.sum("_c").over(down)).withColumn("_m", F.sum("_c").over(whole))
-    marked = ranked.where(F.pow(F.lit(10.0), -F.col("_bin") / 10.0) <= F.lit(fdr) * F.col("_rank") / F.col("_m"))
-    return {r["_stratum"]: r["_b"] for r in marked.groupBy("_stratum").agg(F.min("_bin").alias("_b")).collect()}
+    down, up = whole.orderBy(F.desc("_bin")), whole.orderBy("_bin")
+    ranked = counts.select("_stratum", "_bin", F.lead("_bin").over(up).alias("_next"), F.sum("_c").over(down).alias("_rank"), F.sum("_c").over(up).alias("_above"), F.sum("_c").over(whole).alias("_m"), F.coalesce(F.sum(F.when(F.col("_bin") <= HALF_BIN, F.col("_c"))).over(whole), F.lit(0)).alias("_half"))
+    marked = F.pow(F.lit(10.0), -F.col("_bin") / 10.0) <= F.lit(fdr) * F.col("_rank") / F.col("_m")
+    random = F.least(F.col("_m").cast("double"), 2.0 * (F.col("_half") + 1))  # with one more, so that few tokens are not none
+    cut = F.coalesce(F.pow(F.lit(10.0), -F.col("_next") / 10.0), F.lit(0.0))  # as low as it can be before the next token
+    false = F.col("_above") - random * (1 - cut)
+    judged = ranked.select("_stratum", "_bin", marked.alias("_marked"), (false <= F.lit(fdr) * F.col("_above")).alias("_good"))
+    least = F.min(F.when(F.col("_marked"), F.col("_bin"))).over(whole)
+    kept = judged.withColumn("_least", least).where(F.col("_good") & (F.col("_least").isNull() | (F.col("_bin") < F.col("_least"))))
+    return {r["_stratum"]: r["_b"] for r in kept.groupBy("_stratum").agg((F.max("_bin") + 1).alias("_b")).collect()}  # 8 x 17 rows at most
 
 
 def scan_secrets(docs: DataFrame, *, min_token: int = MIN_TOKEN, fdr: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,9 +206,9 @@ def scan_secrets(docs: DataFrame, *, min_token: int = MIN_TOKEN, fdr: float = FD
     rows = settle(source.select(F.monotonically_increasing_id().alias("_row"), "_id", base.alias("_base"), candidates(F.col("_text"), min_token).alias("_cands")))
     tokens = rows.where(F.size("_cands") > 0).select("_row", F.explode("_cands").alias("_c")).select("_row", F.col("_c.start").alias("_s"), F.col("_c.end").alias("_e"), F.col("_c.token").alias("_token"))
     tested = settle(test_tokens(tokens).select("_row", "_s", "_e", "_stratum", "_bin"))
-    limits = structured_bins(tested, fdr)
-    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])[F.col("_stratum")] if limits else F.lit(None).cast("int")
-    random = tested.where(limit.isNull() | (F.col("_bin") < limit)).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("start"), F.lit(len(BASE)).alias("ord"), F.lit("random").alias("kind"), F.col("_e").alias("end")))).alias("_random"))
+    limits = random_bins(tested, fdr)
+    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])[F.col("_stratum")] if limits else F.lit(0)
+    random = tested.where(F.col("_bin") < F.coalesce(limit, F.lit(0))).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("start"), F.lit(len(BASE)).alias("ord"), F.lit("random").alias("kind"), F.col("_e").alias("end")))).alias("_random"))
     out = rows.join(random, "_row", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("_base").alias("base"), F.coalesce("_random", F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)")).alias("random"))
 
