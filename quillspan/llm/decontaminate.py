@@ -7,12 +7,14 @@ bucket gives the patterns that end with it, and direct comparison confirms one.
 
 The patterns are collected and broadcast in blocks of items of at most ``block_bytes`` of text each (hashed, so by expectation;
 one item that is larger stays whole), as many as the table needs; each block is one more narrow pass over the texts, and none
-shuffles. Defined cases: a null text has no words; a null item_id counts as the id ``null``; items without words have no
+shuffles. A worker builds a block's tables once. After every CHAINED blocks the rows are written down, so that no more than these
+blocks' tables (about 50 times their text) are in memory at once. Defined cases: a null text has no words; a null item_id counts as the id ``null``; items without words have no
 windows; repeated items count once; empty tables give no hits or an empty result; rows that repeat a doc_id stay apart.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import small_batches, table, text_of
+from .base import settle, small_batches, table, text_of
 
-WINDOW, BLOCK_BYTES = 10, 8 << 20
+WINDOW, BLOCK_BYTES, CHAINED = 10, 2 << 20, 4
 #: A-Z to a-z; digits, a-z and all bytes from 0x80 are of words; the rest are spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,6 +74,18 @@ def build(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
     return [Patterns(size, by_length[size]) for size in sorted(by_length)]
 
 
+_BUILT: dict[str, list[Patterns]] = {}
+
+
+def built(name: str, items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
+    """build(), once per worker for a block's name; the last blocks are remembered."""
+    if name not in _BUILT:
+        while len(_BUILT) >= CHAINED:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = build(items, window)
+    return _BUILT[name]
+
+
 def mark(words: list[bytes], patterns: list[Patterns]) -> tuple[list[int], set[str]]:
     """Maximal hit runs as [start, end, start, end ...], and the items found."""
     spans, found = [], set()
@@ -108,8 +122,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
         rows = sorted({(r["_item"], r["_text"]) for r in part.toLocalIterator()})
         shared = spark.sparkContext.broadcast(rows)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            patterns = build(shared.value, window)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            patterns = built(name, shared.value, window)
             for batch in batches:
                 counts, spans, items = [], [], []
                 for text, old, had in zip(*(batch.column(k + i).to_pylist() for i in (0, 2, 3)), strict=True):
@@ -124,6 +138,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
                 yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], *new], names=batch.schema.names)
 
         out = out.mapInArrow(scan, schema)
+        if block % CHAINED == CHAINED - 1 and block + 1 < blocks:
+            out = settle(out)
     return out
 
 
