@@ -7,7 +7,7 @@ by range reads of the members' first 33 bytes, the PNG signature and header; onl
 Here a payload is a text's UTF-8 bytes, zero-padded to a positive multiple of 64, kept losslessly as an 8-bit grey PNG, 64
 pixels wide. Shards are written to the shared folder with pyarrow's file systems, a new name per attempt, so a task that is
 lost leaves a file that no row refers to; rows are written down before anything is read back. Texts are never shuffled.
-A task remembers the digests of its own partition only; copies in other tasks' shards stay as unreferenced bytes.
+A task remembers digests of its own partition only, the last REMEMBERED; copies in other tasks' shards stay as unreferenced bytes.
 
 Defined cases: null and empty texts are 64 zero bytes with n_bytes 0; texts that differ only in trailing NULs share a payload;
 repeated rows share a member; an empty table gives an empty result and no shard.
@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from .base import fresh_path, settle, small_batches, table
 
 WIDTH, SHARD_BYTES, HEADER_BYTES = 64, 256 << 20, 33
+#: Media bytes that are read together; and keys a task remembers, beyond which it forgets them all.
+READ_BYTES, REMEMBERED = 8 << 20, 1 << 17
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -115,6 +117,8 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
                 data = (text or "").encode("utf-8", "surrogatepass")
                 payload = payload_of(data)
                 digest = hashlib.sha256(payload).digest()
+                if len(known) > REMEMBERED:  # a copy stored twice does no harm
+                    known.clear()
                 if digest not in known:
                     known[digest] = shards.add(f"{digest.hex()}.png", encode_png(payload))
                 sizes.append(len(data))
@@ -128,9 +132,13 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): the one copy that counts for each digest, in the order of the shards."""
-    best = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_m"))
-    return best.select("digest", "_m.shard", "_m.offset", "_m.length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    """(digest, shard, offset, length): the one copy that counts for each digest, in the order of the shards.
+
+    Dealt by stretches of READ_BYTES of a shard, as many tasks as there are stretches by their bytes: rows here are small, what they
+    ask to read is not."""
+    best = settle(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_m")).select("digest", "_m.*"))
+    size = best.agg(F.sum("length")).first()[0] or 0
+    return best.repartition(max(1, -(-size // READ_BYTES)), "shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
 
 
 def ranged(folder: str, shards: list[str], offsets: list[int], lengths: list[int]) -> Iterator[bytes]:
