@@ -4,7 +4,7 @@ Method: each document draws its number of copies from a Poisson distribution who
 repetition rate. The draw inverts the distribution at a fraction hashed from seed and doc_id, so it is the same on
 every run and on every cluster; copies are exploded and shuffled globally by a hash. Native Spark expressions.
 
-Defined cases: a null source is a source of its own; rows that repeat a doc_id draw the same count; texts are not looked
+Defined cases: a null source is a source of its own (given weights name it by the empty text); rows that repeat a doc_id draw the same count; texts are not looked
 at; a source with weight 0, or absent from given weights, gives no rows; an empty table gives an empty result.
 """
 
@@ -87,16 +87,25 @@ WITH RECURSIVE counts AS (
   SELECT source AS src, count(*)::DOUBLE AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source
 ), rates AS (
   SELECT src, (sum(n) OVER ()) * w / (sum(w) OVER ()) / n AS rate FROM counts
+), firsts AS (
+  SELECT src, rate, CASE WHEN rate > {EXACT} THEN floor(rate - 12 * sqrt(rate) - 40)::INT ELSE 0 END AS k FROM rates
+), starts AS (
+  SELECT src, rate, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(j - rate + j * ln(rate / j) - ln(j * {2 * math.pi!r}) / 2 - 1 / (j * 12) + 1 / (j * j * j * 360)) END AS p
+  FROM (SELECT *, greatest(k, 1)::DOUBLE AS j FROM firsts)
 ), cdf(src, rate, k, p, c) AS (
-  SELECT src, rate, 0, exp(-rate), exp(-rate) FROM rates
+  SELECT src, rate, k, p, p FROM starts
   UNION ALL
   SELECT src, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < rate + 12 * sqrt(rate) + 40
 ), drawn AS (
   SELECT doc_id, text, lang, source, n_chars, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents
+), counts_drawn AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, max(f.k) + count(c.k) AS n
+  FROM (SELECT *, row_number() OVER () AS r FROM drawn) d JOIN firsts f ON d.source IS NOT DISTINCT FROM f.src
+  LEFT JOIN cdf c ON d.source IS NOT DISTINCT FROM c.src AND c.c <= d.u
+  GROUP BY d.r, d.doc_id, d.text, d.lang, d.source, d.n_chars
 ), copies AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.k::BIGINT AS copy
-  FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.src AND c.c <= d.u
+  SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::BIGINT AS copy FROM counts_drawn WHERE n > 0
 )
 SELECT doc_id, text, lang, source, n_chars, copy, md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS order_key FROM copies
 """
