@@ -17,6 +17,7 @@ QUERIES = {
     "op10_shard": sharding.op10_shard,
 }
 ORACLE_SQL = {
+    "op2_quote_link": quotes.SQL,
     "op3_mix_sources": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,

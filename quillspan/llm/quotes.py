@@ -89,3 +89,51 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 
 def op2_quote_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+#: The same in SQL, over the texts of the passages themselves instead of their hashes.
+SQL = r"""
+WITH RECURSIVE msgs AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), cut AS (
+  SELECT r, conv_id, turn, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM (SELECT *, string_split_regex(text, '\r?\n') AS parts FROM msgs)
+), marked AS (
+  SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS marks FROM cut
+), lines AS (
+  SELECT r, conv_id, turn, pos, line, length(marks) - length(replace(marks, '>', '')) AS lev,
+         lower(trim(regexp_replace(substr(line, length(marks) + 1), '[ \t\r\n]+', ' ', 'g'), ' ')) AS norm FROM marked
+), stepped AS (
+  SELECT *, CASE WHEN lag(lev) OVER w = lev AND lag(norm) OVER w <> '' AND norm <> '' THEN 0 ELSE 1 END AS fresh FROM lines WINDOW w AS (PARTITION BY r ORDER BY pos)
+), runs AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS run FROM stepped
+), units AS (
+  SELECT r, conv_id, turn, lev, true AS whole, string_agg(norm, ' ' ORDER BY pos) AS passage FROM runs WHERE norm <> '' GROUP BY r, conv_id, turn, lev, run HAVING count(*) > 1
+  UNION ALL SELECT r, conv_id, turn, lev, false, norm FROM runs WHERE norm <> ''
+), originals AS (
+  SELECT conv_id, passage, min(turn) AS origin FROM units WHERE lev = 0 GROUP BY ALL
+), met AS (
+  SELECT u.r, u.conv_id, u.turn, u.lev, u.whole, length(u.passage) AS len, o.origin
+  FROM units u LEFT JOIN originals o ON u.conv_id IS NOT DISTINCT FROM o.conv_id AND u.passage = o.passage AND o.origin < u.turn WHERE u.lev > 0
+), counts AS (
+  SELECT r, count(*) AS n_quoted, count(origin) AS n_linked FROM met WHERE NOT whole GROUP BY r
+), scores AS (
+  SELECT r, conv_id, turn, origin, sum(len) AS score FROM met WHERE lev = 1 AND origin IS NOT NULL GROUP BY ALL
+), parents AS (
+  SELECT r, conv_id, turn, origin AS parent FROM scores QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, origin DESC) = 1
+), ups AS (
+  SELECT conv_id, turn, max(parent) AS up FROM parents GROUP BY ALL
+), climb AS (
+  SELECT conv_id, turn, up AS top, 1 AS depth FROM ups
+  UNION ALL SELECT c.conv_id, c.turn, u.up, c.depth + 1 FROM climb c JOIN ups u ON c.conv_id IS NOT DISTINCT FROM u.conv_id AND c.top = u.turn
+), roots AS (
+  SELECT conv_id, turn, min_by(top, -depth) AS root, max(depth) AS depth FROM climb GROUP BY ALL
+), bodies AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE own) AS body FROM (
+    SELECT *, lev = 0 AND NOT (regexp_matches(line, '(?i)\bwrote:[ \t]*$') AND coalesce(lead(lev) OVER (PARTITION BY r ORDER BY pos), 0) > 0) AS own FROM lines) GROUP BY r
+)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN regexp_matches(m.text, '(?m)^[ \t]*>') THEN trim(coalesce(b.body, ''), chr(10)) ELSE m.text END AS body,
+       coalesce(c.n_quoted, 0)::BIGINT AS n_quoted, coalesce(c.n_linked, 0)::BIGINT AS n_linked, p.parent AS parent_turn,
+       coalesce(t.root, m.turn) AS root_turn, coalesce(t.depth, 0)::BIGINT AS depth
+FROM msgs m LEFT JOIN bodies b ON m.r = b.r LEFT JOIN counts c ON m.r = c.r LEFT JOIN parents p ON m.r = p.r
+LEFT JOIN roots t ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.turn = t.turn
+"""

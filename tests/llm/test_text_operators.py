@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, line_dedup, media, mixing, order_minhash, quotes, secrets, sharding, suffix_dedup, toxicity
+from quillspan.llm.base import fingerprint
 from quillspan.llm.queries import ORACLE_SQL, QUERIES
 from quillspan.llm.words import shingles, word_hashes
 
@@ -50,23 +52,45 @@ def pairs(frame, *columns):
 
 
 def test_suffix_dedup(docs, rows, empty):
-    for length, crowd in ((400, 400), (64, 3)):
-        count = collections.Counter()
-        data = [(i, (t or "").encode()) for i, t, *_ in rows]
-        for _, b in data:
-            count.update(b[p : p + length] for p in range(len(b) - length + 1))
-        want = []
-        for i, b in data:
-            hit = bytearray(len(b))
-            for p in range(len(b) - length + 1):
-                if count[b[p : p + length]] > 1:
-                    hit[p : p + length] = b"\1" * length
-            want.append((i, len(b), bytes(x for x, h in zip(b, hit, strict=True) if not h)))
+    for length, crowd in ((400, 64), (64, 3)):
         got = suffix_dedup.drop_passages(docs, length=length, max_group=crowd)
-        assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got.collect()), key=repr) == sorted(want, key=repr)
+        assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got.collect()), key=repr) == without_repeats([(i, t) for i, t, *_ in rows], length)
     assert suffix_dedup.drop_passages(empty).count() == 0
 
 
+def without_repeats(rows, length):
+    """Brute force: (id, bytes, what is left) of each text."""
+    count = collections.Counter()
+    data = [(i, (t or "").encode()) for i, t in rows]
+    for _, b in data:
+        count.update(b[p : p + length] for p in range(len(b) - length + 1))
+    want = []
+    for i, b in data:
+        hit = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                hit[p : p + length] = b"\1" * length
+        want.append((i, len(b), bytes(x for x, h in zip(b, hit, strict=True) if not h)))
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("crowd", [400, 64, 8])
+def test_suffix_dedup_of_crowded_groups(spark, crowd):
+    """Far more different pieces around one anchor than a group may hold: a passage between unlike texts, and a family of edited copies."""
+    rng = random.Random(8)
+    passage, base = prose(rng, 70), prose(rng, 160)
+    texts = [f"{prose(rng, 40)} {passage} {prose(rng, rng.randrange(40))}" for _ in range(450)]
+    for _ in range(450):
+        words = base.split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"{rng.choice(WORDS)}{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts.append("ab" * 3000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = suffix_dedup.drop_passages(docs, max_group=crowd)
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got.collect()), key=repr) == without_repeats(enumerate(texts), 400)
+
+
 def test_column_bwt_sorts_all_suffixes():
     rng = random.Random(1)
     for _ in range(40):
@@ -91,6 +115,50 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_equal_sql_on_random_conversations(spark, same_as_sql, tmp_path):
+    """Nested quotes of earlier messages, whole and in part, with repeats, blank lines, introductions and unknown passages."""
+    rng, rows = random.Random(12), []
+    for conv in range(60):
+        said = []
+        for turn in range(rng.randrange(1, 12)):
+            lines = [prose(rng, rng.randrange(1, 6)) for _ in range(rng.randrange(0, 4))]
+            for _ in range(rng.randrange(3) if said else 0):
+                old = rng.choice(said)
+                a = rng.randrange(len(old) + 1)
+                picked = old[a : a + rng.randrange(1, 5)] or ["nobody said this"]
+                intro = [f"Ann wrote:{rng.choice(['', ' '])}"] if rng.random() < 0.4 else []
+                mark = rng.choice([">", "> ", " >", ">\t"])
+                lines += [*intro, *(mark + line for line in picked)]
+                lines += [""] * rng.randrange(2) + [prose(rng, 3).upper() if rng.random() < 0.3 else prose(rng, 3)]
+            said.append(lines)
+            text = rng.choice(["\n", "\r\n"]).join(lines)
+            rows.append((conv if conv else None, turn, rng.choice("ab"), None if rng.random() < 0.03 else text))
+    rows += [(7, None, "a", "> nothing"), (None, None, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/w")
+    (tmp_path / "d").mkdir()
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "d" / "conversations.parquet")
+    got = QUERIES["op2_quote_link"](spark, str(tmp_path / "d"))
+    assert got.where("n_linked > 0").count() > 80 and got.where("depth > 2").count() > 5
+    same_as_sql(QUERIES["op2_quote_link"], ORACLE_SQL["op2_quote_link"], str(tmp_path / "d"))
+
+
+def test_mixing_equals_sql_at_high_rates(spark, tmp_path):
+    """One document of a rare source beside 1.3 million others has a mean of about 800."""
+    import duckdb
+
+    (tmp_path / "d").mkdir()
+    duckdb.sql("SELECT i AS doc_id, '' AS text, 'en' AS lang, CASE WHEN i = 7 THEN 'rare' ELSE 's' || i % 2 END AS source, 0::BIGINT AS n_chars FROM range(1300000) t(i)").write_parquet(f"{tmp_path}/d/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d/documents.parquet")
+    rates = {r._src: r._rate for r in mixing.source_rates(docs).collect()}
+    drawn = mixing.poisson_mix(docs.where("doc_id = 7"), spark.createDataFrame(list(rates.items()), "_src string, _rate double")).count()
+    assert rates["rare"] > 750 and abs(drawn - rates["rare"]) < 5 * rates["rare"] ** 0.5
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/documents.parquet' WHERE doc_id = 7 OR NOT regexp_matches(source, 'rare')")
+    sql = ORACLE_SQL["op3_mix_sources"].replace("  FROM documents\n), counts_drawn", "  FROM documents WHERE doc_id = 7\n), counts_drawn")
+    assert sql != ORACLE_SQL["op3_mix_sources"], "only the rare document is drawn here, the rates are of all"
+    assert con.sql(f"SELECT count(*) FROM ({sql})").fetchall()[0][0] == drawn
+
+
 def test_mixing(spark, docs, rows, empty):
     rates = {r._src: r._rate for r in mixing.source_rates(docs, weights={"s0": 3.0, "": 1.0}).collect()}
     n = collections.Counter(s for *_, s, _a, _b, _c in [(r[0], r[3], *r[4:]) for r in rows])
@@ -264,6 +332,46 @@ def test_secrets(docs, rows, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_very_long_texts(spark):
+    """60,000 tokens in one text of 2 MB: the work is linear in them."""
+    rng = random.Random(4)
+    text = " ".join(f"token={rng.getrandbits(80):020x} x{rng.getrandbits(100):025x}" if k % 2 else f"plainword{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "q " * 500_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert time.time() - began < 60
+    want = sorted((m.start(), i, k, m.end()) for i, (k, p, g, n) in enumerate(BASE) for m in p.finditer(text) if len(m.group(g)) >= n)
+    assert [tuple(s) for s in got[1].base] == want and not got[2].base
+
+
+def test_secrets_precision(spark):
+    """Random strings among text-like tokens of the same lengths: what is reported is mostly random, and most of the random is."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, planted = [], set()
+    for i in range(3000):
+        if i % 6 == 0:
+            token = "".join(rng.choice(letters) for _ in range(rng.randrange(32, 60)))
+            token = f"7{token}b"
+            planted.add(token)
+        else:
+            token = "".join(w + (str(rng.randrange(100)) if j == 0 else "") for j, w in enumerate(rng.choice(WORDS).replace("é", "e").capitalize() for _ in range(7)))[:58]
+        rows.append((i, f"see {token} there"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = [texts[r.doc_id][s.start : s.end] for r in secrets.scan_secrets(docs).collect() for s in r.random]
+    right = sum(f in planted for f in found)
+    assert right >= 0.9 * len(planted) and right >= 0.9 * len(found)
+
+
+def test_normal_tail(spark):
+    from math import erfc
+
+    z = [-6.0, -2.5, -0.3, 0.0, 0.7, 1.96, 4.9, 5.1, 9.0, 13.0]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in z], "z double").select(secrets.tail(F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([erfc(x / 2**0.5) / 2 for x in z], rel=2e-3, abs=1e-300)
+
+
 def test_line_dedup(docs, rows, empty):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(low)
@@ -321,7 +429,7 @@ def test_decontamination(spark, docs, rows, empty):
                     hit.update(range(k, k + n))
                     found |= windows[x]
         want.append((i, len(w), len(hit), sorted(found)))
-    for size in (8 << 20, 40):  # one block of patterns, then several
+    for size in (8 << 20, 20):  # one block of patterns, then several, with rows written down between
         got = decontaminate.find_items(docs, bench, block_bytes=size).collect()
         assert sorted(((r.doc_id, r._n_words, sum(r._spans[1::2]) - sum(r._spans[::2]), list(r._items)) for r in got), key=repr) == sorted(want, key=repr)
     assert decontaminate.find_items(docs, bench.limit(0)).where("size(_spans) > 0").count() == 0
@@ -341,6 +449,19 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_sharding_cuts_no_link_where_groups_fit(spark):
+    """Groups of 2 to 60 rows that start all over the shards: none stays cut, where dealing by rows would cut most links."""
+    sizes = [2 + (i * 7) % 59 for i in range(120)]
+    rows = [(i, f"group {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))] + [(10**6 + i, f"single {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    h1, h2 = fingerprint(F.col("text"))
+    met = docs.select("doc_id", h1.alias("_g1"), h2.alias("_g2")).join(sharding.shard_rows(docs).select("doc_id", "shard"), "doc_id")
+    linked, cut = sharding.cut_links(met).first()
+    dealt = sharding.cut_links(met.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)))).first()
+    assert linked == sum(sizes) == dealt.linked and cut <= 0.02 * linked < 0.5 * linked < dealt.cut
+    assert sharding.cut_links(met.limit(0)).first() == (0, 0)
+
+
 def test_sharding_keeps_groups_together_beside_a_hot_one(spark):
     n = 24_000
     text = F.when(F.col("id") < n // 3, "hot").when(F.col("id") < n // 3 + n // 5, F.concat(F.lit("g"), F.floor(F.col("id") / 3))).otherwise(F.concat(F.lit("u"), "id"))
