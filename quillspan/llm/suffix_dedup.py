@@ -501,4 +501,7 @@ def drop_passages(docs: DataFrame, *, length: int = LENGTH, max_group: int = MAX
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_passages(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # alternating: ends as the spans' total
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("repeats"), F.octet_length("kept").cast("long").alias("n_kept"),
+    )
