@@ -12,17 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jstext import WS_CLASS, resolve_path_col, safe_decode_col, slug_col, trim_col
-from .nodes import NUL_REACH, with_status
+from .nodes import NUL_REACH, parse_nodes, with_status
+from .store import settled
 
 #: Order of families in a document's report, after line and column.
 FAMILIES = ("guard", "headings", "images", "targets", "tables", "references", "definitions", "urls")
 COLUMNS = ("doc_id", "check", "line", "column", "message", "suspected")
+#: Node types and fields that the checks look at, by family; the fields beside PLACE.
+PLACE = ("node_id", "type", "start_line", "start_col")
+NEEDS = {
+    "headings": (("heading",), ("heading_depth", "text_content")),
+    "images": (("image", "imageReference"), ("alt",)),
+    "targets": (("root", "heading", "html", "link", "image", "definition"), ("text_content", "value", "url")),
+    "tables": (("tableRow",), ("parent_id", "child_count")),
+    "references": (("linkReference", "imageReference", "definition"), ("identifier", "label")),
+    "urls": (("text",), ("value", "ancestor_types")),
+}
+#: What is an external target, an id in HTML, a bare address.
 EXTERNAL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)"
 HTML_ID = r"""(?<![\w-])(?:id|name)\s*=\s*(?:"([^"]+)"|'([^']+)')"""
 BARE_URL = rf"(?:https?://|www\.)[^{WS_CLASS}<>\"')\]]+"
 LINKISH = ("link", "linkReference", "image", "imageReference", "definition")
 
 
+def parsed_for(docs: DataFrame, *families: str) -> DataFrame:
+    """The node table of ``docs`` as far as the checks of ``families`` (default all) look at it."""
+    asked = [NEEDS[f] for f in families or NEEDS]
+    types, fields = ({x: None for need in asked for x in need[i]} for i in (0, 1))
+    found = parse_nodes(docs, types=tuple(types), fields=(*PLACE, *fields))
+    return found.where((F.col("type") != "text") | F.col("value").rlike(BARE_URL)) if "text" in types else found
+
+
 def finding(nodes: DataFrame, family: str, check: str | Column, message: Column, *, line: str | Column = "start_line", column: str | Column = "start_col", suspected: Column | None = None, rank: Column | None = None) -> DataFrame:
     name = F.lit(check) if isinstance(check, str) else check
     col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -36,6 +56,9 @@ def finding(nodes: DataFrame, family: str, check: str | Column, message: Column,
 # ---- guards -----------------------------------------------------------------------------------------------------------
 
 
+# The messages here and below are fixed values, character for character.
+
+
 def guard_findings(docs: DataFrame) -> DataFrame:
     """doc-too-large, doc-unreadable: the only finding of such a document, at 1:1."""
     d = with_status(docs).withColumn("node_id", F.lit(0)).where(F.col("scan_status").isin("too-large", "unreadable"))
@@ -60,6 +83,7 @@ def headings(nodes: DataFrame) -> DataFrame:
         last = F.last(F.when(named & (F.col("depth") <= d), F.struct("depth", "node_id")), ignorenulls=True).over(before)
         parent = F.when(F.col("depth") == d + 1, F.coalesce(last["node_id"] + 1, F.lit(0))).otherwise(parent)
     h = h.withColumn("parent", parent)
+    # Rows of a document are in one partition by now, which also serves windows over more of its columns.
     sibling = Window.partitionBy("doc_id", "parent", "key").orderBy("node_id")
     return h.withColumn("sibling", F.row_number().over(sibling)).withColumn("first_line", F.first("start_line").over(sibling))
 
@@ -153,10 +177,7 @@ def image_findings(nodes: DataFrame) -> DataFrame:
 
 
 def table_findings(nodes: DataFrame) -> DataFrame:
-    cells = nodes.where("type = 'tableCell'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("cells"))
-    rows = nodes.where("type = 'tableRow'").select("doc_id", "node_id", "parent_id", "start_line", "start_col").join(cells, ["doc_id", "node_id"], "left")
-    rows = rows.withColumn("cells", F.coalesce("cells", F.lit(0)))
-    rows = rows.withColumn("header", F.first("cells").over(Window.partitionBy("doc_id", "parent_id").orderBy("node_id")))
+    rows = nodes.where("type = 'tableRow'").select("doc_id", "node_id", "start_line", "start_col", F.col("child_count").alias("cells"), F.first("child_count").over(Window.partitionBy("doc_id", "parent_id").orderBy("node_id")).alias("header"))
     text = F.format_string("row has %d cells but the header has %d — GitHub silently drops the extra cell(s)", "cells", "header")
     return finding(rows.where("cells > header"), "tables", "table-ragged", text)
 
@@ -190,11 +211,12 @@ def url_findings(nodes: DataFrame) -> DataFrame:
     return finding(each, "urls", "bare-url", text, line=F.col("start_line") + breaks, column=column, rank=F.col("i"))
 
 
-def check_documents(docs: DataFrame, nodes: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """All findings of ``docs(doc_id, path, text)`` with their order in each document's report (``seq`` from 1)."""
+def check_documents(docs: DataFrame, nodes: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """All findings of ``docs(doc_id, path, text)`` with their order in each document's report (``seq`` from 1).
+
+    Without ``nodes`` the documents are parsed here, once, and what the checks need of them is written to the shared folder."""
+    nodes = settled(parsed_for(docs), "nodes") if nodes is None else nodes
     families = [guard_findings(docs), heading_findings(nodes), image_findings(nodes), target_findings(nodes, docs, manifest), table_findings(nodes), reference_findings(nodes), url_findings(nodes)]
     every = reduce(DataFrame.unionByName, families)
     order = Window.partitionBy("doc_id").orderBy("line", "column", "_family", "_node", "_rank")
     return every.withColumn("seq", F.row_number().over(order)).select(*COLUMNS, "seq")
-
-

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jstext import WS
+
 
 @dataclass(frozen=True)
 class Key:
@@ -41,6 +43,7 @@ SAFER = {"suiteMode": ("off", "manual", "auto"), "updateMode": ("off", "remind",
 UNITED = ("disabledCanaries",)
 BY_NAME = {k.name: k for k in SCHEMA}
 FORBIDDEN = ("__proto__", "constructor", "prototype")
+#: Fixed value: strings, kept, or comments.
 COMMENTS = r'("(?:\\[^\n\r\u2028\u2029]|[^"\\])*")|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/'
 
 
@@ -144,9 +147,9 @@ def first_candidates(raw: DataFrame) -> DataFrame:
 def merged(raw: DataFrame) -> DataFrame:
     """(project, merged key structs): both layers of each project; one shuffle by project. A global row with a null project is for all."""
     files = first_candidates(raw)
-    shared = files.where("layer = 'global' and project is null").select(F.col("raw").alias("_all"))
+    shared = files.where("layer = 'global' and project is null").select(F.col("raw").alias("_all"))  # first_candidates leaves one row of it
     wide = files.where("project is not null").groupBy("project").agg(F.max(F.when(F.col("layer") == "global", F.col("raw"))).alias("g"), F.max(F.when(F.col("layer") == "project", F.col("raw"))).alias("p"))
-    wide = wide.join(F.broadcast(shared.limit(1)), F.lit(True), "left")  # one row: the machine's own file
+    wide = wide.join(F.broadcast(shared), F.lit(True), "left")
     both = wide.select("project", parsed(F.coalesce("g", "_all")).alias("_g"), parsed(F.col("p")).alias("_p"))
     values = once(both, "project", *[c for k in SCHEMA for c in (value(F.col("_g"), k.name).alias(f"g_{k.name}"), value(F.col("_p"), k.name).alias(f"p_{k.name}"))])
     return once(values, "project", *[overlay(k, F.col(f"g_{k.name}"), F.col(f"p_{k.name}")).alias(k.name) for k in SCHEMA])
@@ -180,10 +183,28 @@ def factory_gaps(raw: DataFrame) -> DataFrame:
     return rows.select("project", "key", problem.alias("problem")).where("problem is not null")
 
 
-def candidates(root: Column, app: str) -> Column:
-    """Where a project's file may be, by rank."""
-    homes = [f"/{d}/{app}.json" for d in (".claude", ".agents", ".gemini")]
-    return F.array(*[F.concat(root, F.lit(tail)) for tail in (*homes, f"/.{app}.json")])
+#: Folders of a project that may hold its file, by rank.
+FOLDERS = (".claude", ".agents", ".gemini")
+
+
+def candidates(root: Column, app: str, group: str) -> Column:
+    """Where a project's file may be, by rank: under ``group`` in each of FOLDERS, then the old hidden file in the root."""
+    tails = [f"/{d}/{group}/{app}.json" for d in FOLDERS] + [f"/.{app}.json"]
+    return F.array(*[F.concat(root, F.lit(tail)) for tail in tails])
+
+
+def chosen_path(roots: DataFrame, existing: DataFrame, app: str, group: str) -> DataFrame:
+    """(project, path, found) for roots(project, root): the first candidate in ``existing(path)``, or the first of all where none is there."""
+    ranked = roots.select("project", F.posexplode(candidates(F.col("root"), app, group)).alias("rank", "path"))
+    met = ranked.join(existing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    best = met.groupBy("project").agg(F.min_by("path", F.struct(F.col("there").isNull(), "rank")).alias("path"), F.coalesce(F.bool_or("there"), F.lit(False)).alias("found"))
+    return best.select("project", "path", "found")
+
+
+def global_path(override: Column, home: Column, app: str) -> Column:
+    """The machine's own file: in the first folder of a comma-separated override if that is not empty, else in the first of FOLDERS at home."""
+    told = F.btrim(F.substring_index(F.coalesce(override, F.lit("")), ",", 1), F.lit(WS))
+    return F.concat(F.when(told != "", told).otherwise(F.concat(home, F.lit(f"/{FOLDERS[0]}"))), F.lit(f"/.{app}.json"))
 
 
 def project_roots(dirs: DataFrame, markers: DataFrame, home: str) -> DataFrame:

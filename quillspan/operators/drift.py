@@ -92,12 +92,14 @@ def required_files(manifest: DataFrame, required: DataFrame) -> DataFrame:
     return met.select(F.lit("required").alias("gate"), F.col("path").alias("subject"), ok.alias("ok"), F.when(~ok, "missing").alias("detail"))
 
 
-def contract_gate(docs: DataFrame) -> DataFrame:
-    """Contracts docs(path, text): the front matter's name is the folder's, the description is there and within its limit."""
+def contract_gate(docs: DataFrame, report_line: str | None = None) -> DataFrame:
+    """Contracts docs(path, text): the front matter's name is the folder's, the description is there and within its limit, and the text says where to report problems (``report_line``)."""
     folder = F.element_at(F.split("path", "/", -1), -2)
     size = description_length(F.col("text"))
     name, description = front_field(F.col("text"), "name"), front_field(F.col("text"), "description")
     detail = F.when(~name.eqNullSafe(folder), "name differs from folder").when(F.coalesce(description, F.lit("")) == "", "no description").when(size > DESCRIPTION_LIMIT, "description too long")
+    if report_line is not None:
+        detail = detail.when(~F.col("text").contains(report_line), "no report line")
     return docs.select(F.lit("contract").alias("gate"), F.col("path").alias("subject"), detail.isNull().alias("ok"), detail.alias("detail"))
 
 
@@ -113,6 +115,48 @@ def manifest_gate(manifests: DataFrame) -> DataFrame:
     return manifests.select(F.lit("manifest").alias("gate"), F.col("path").alias("subject"), detail.isNull().alias("ok"), detail.alias("detail"))
 
 
+def length_gate(docs: DataFrame) -> DataFrame:
+    """Commands docs(path, text): description and when_to_use within their limit together; neither need be there."""
+    size = description_length(F.col("text"))
+    ok = size <= DESCRIPTION_LIMIT
+    return docs.select(F.lit("command").alias("gate"), F.col("path").alias("subject"), ok.alias("ok"), F.when(~ok, F.format_string("description of %d characters", size)).alias("detail"))
+
+
+def mention_gate(docs: DataFrame, wanted: DataFrame, gate: str = "wiring") -> DataFrame:
+    """Each of wanted(path, mention) must stand in the text of docs(path, text): hooks that are wired, an engine called by its relative path."""
+    met = wanted.select("path", "mention").join(docs.select("path", "text"), "path", "left")
+    ok = F.coalesce(F.contains("text", "mention"), F.lit(False))
+    return met.select(F.lit(gate).alias("gate"), F.concat_ws(" ", "path", "mention").alias("subject"), ok.alias("ok"), F.when(F.col("text").isNull(), "no such file").when(~ok, "not mentioned").alias("detail"))
+
+
+def listing_gate(listings: DataFrame, source: str) -> DataFrame:
+    """Listings(path, text) in JSON: the first plugin comes from ``source`` and states no version, which has its home in the manifest."""
+    v = F.try_parse_json("text")
+    first = lambda k: F.try_variant_get(v, f"$.plugins[0].{k}", "string")
+    version = F.variant_get(v, "$.plugins[0].version", "variant")
+    detail = F.when(v.isNull(), "not JSON").when(~F.coalesce(first("source") == source, F.lit(False)), "source differs").when(version.isNotNull(), "states a version")
+    return listings.select(F.lit("listing").alias("gate"), F.col("path").alias("subject"), detail.isNull().alias("ok"), detail.alias("detail"))
+
+
+def smoke_gate(findings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Fixtures wanted(doc_id, least, most): the number of findings of each is within its bounds (most null: no upper bound)."""
+    counts = findings.groupBy("doc_id").agg(F.count("*").alias("n"))
+    met = wanted.join(counts, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ok = (F.col("n") >= F.col("least")) & (F.col("most").isNull() | (F.col("n") <= F.col("most")))
+    return met.select(F.lit("smoke").alias("gate"), F.col("doc_id").cast("string").alias("subject"), ok.alias("ok"), F.when(~ok, F.format_string("%d findings", "n")).alias("detail"))
+
+
+def staged(docs: DataFrame, limit: int = SHORT_LIMIT) -> DataFrame:
+    """(path, ok, before, after, text) of contracts docs(path, text): the description cut to ``limit``; a contract without one fails and keeps its text."""
+    description = front_field(F.col("text"), "description")
+    short = trim_description(description, limit)
+    return docs.select("path", description.isNotNull().alias("ok"), utf16_length_col(description).alias("before"), utf16_length_col(short).alias("after"), F.when(description.isNotNull(), replace_description(F.col("text"), short)).otherwise(F.col("text")).alias("text"))
+
+
+def staging_counts(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count_if("ok").alias("staged"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 def version_gate(docs: DataFrame, marker: str, version: str) -> DataFrame:
     """Lines of docs(path, text) that hold ``marker`` must quote ``version``; a corpus without such lines fails."""
     lines = docs.select("path", F.posexplode(F.split("text", r"\r?\n", -1)).alias("i", "line")).where(F.col("line").contains(marker))

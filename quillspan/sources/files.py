@@ -12,7 +12,7 @@ MARKDOWN_EXTENSIONS = (".md", ".mdx", ".markdown")
 
 def read_documents(spark: SparkSession, paths: str | list[str], *, extensions: tuple[str, ...] | None = DOC_EXTENSIONS, recursive: bool = True) -> DataFrame:
     """(doc_id, path, text) of files; invalid UTF-8 becomes replacement characters. The extension filter is on paths, before any read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(paths)
     path = F.regexp_replace("path", "^file:/*", "/")
     rows = found.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     if extensions is not None:
@@ -20,6 +20,38 @@ def read_documents(spark: SparkSession, paths: str | list[str], *, extensions: t
     return rows.select(F.col("path").alias("doc_id"), "path", "text")
 
 
+def read_listed(spark: SparkSession, paths: list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of a list of files: what cannot be read is a row (path, error), and the rest of the scan goes on.
+
+    Paths that are not there are told apart before the read, which would fail as a whole; files that fail while they are read are skipped by it."""
+    files, system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    listed = spark.createDataFrame([(p.removeprefix("file:"),) for p in paths], "path string")
+    there = [p for p in paths if files(p).getFileSystem(system).exists(files(p))]
+    docs = read_documents(spark, there, **options) if there else spark.createDataFrame([], "doc_id string, path string, text string")
+    return docs, unreadable(listed, docs)
+
+
+#: The numbers of documents beyond which a scan asks first, by what it covers.
+ASK_BEYOND = {"semantic": 20, "structure": 50}
+
+
+def scope_questions(scopes: DataFrame) -> DataFrame:
+    """(scope, kind, documents, ask) of scopes(scope, kind, doc_id): whether a scan of that many documents asks first."""
+    limit = F.create_map(*[F.lit(x) for pair in ASK_BEYOND.items() for x in pair])[F.col("kind")]
+    return scopes.groupBy("scope", "kind").agg(F.countDistinct("doc_id").alias("documents")).withColumn("ask", F.col("documents") > limit)
+
+
+def touched(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(sid, doc_id, path, text): the documents that a session has edited, of edits(sid, what, path) as sessions.classify gives them."""
+    return edits.where("what = 'doc'").select("sid", "path").distinct().join(docs.select("doc_id", "path", "text"), "path")
+
+
+def copy_plan(tree: DataFrame, target: str, *, exclude: str | None = None) -> DataFrame:
+    """(rel_path, to_path, bytes): what a copy of tree(rel_path, content) would write. A plan only: files are copied by file systems, not by Spark."""
+    rows = tree.where(~F.col("rel_path").rlike(exclude)) if exclude else tree
+    return rows.select("rel_path", F.concat(F.lit(target.rstrip("/") + "/"), "rel_path").alias("to_path"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 def unreadable(listed: DataFrame, docs: DataFrame) -> DataFrame:
     """The paths of ``listed(path)`` that were not read, with a message each; the rest of a scan goes on."""
     return listed.join(docs.select("path"), "path", "left_anti").select("path", F.concat(F.lit("FAIL "), "path", F.lit(": not readable")).alias("error"))

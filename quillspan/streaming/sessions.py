@@ -55,7 +55,7 @@ def classify(events: DataFrame, *, temp_dir: str = "/tmp", cwd: str = "/") -> Da
     edit = e.withColumn("_e", F.when(F.col("kind") == "edit", edited_path(F.col("_v")))).withColumn("_w", workspace(F.col("_v"), cwd))
     # a generator between, so that the searches of the payload are not repeated wherever their results are read
     edit = edit.select(F.explode(F.array(F.struct("sid", "seq", "kind", "_v", "_e", "_w"))).alias("_r")).select("_r.*")
-    edit = edit.select("sid", "seq", "kind", "_v", F.explode(F.array(resolve_path_col(F.col("_w"), F.col("_e")))).alias("path"))
+    edit = edit.select("sid", "seq", "kind", "_v", F.explode(F.array(F.when(F.col("_e").isNotNull(), resolve_path_col(F.col("_w"), F.col("_e"))))).alias("path"))
     name = F.element_at(F.split("path", "/", -1), -1)
     under = (F.col("path") == temp_dir) | F.col("path").startswith(temp_dir + "/")
     active = F.variant_get("_v", "$.stop_hook_active", "variant")
@@ -116,7 +116,7 @@ def track(classified: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 def responses(stops: DataFrame, settings: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
-    """What is printed at a stop: {} or a message; nothing where the settings silence it.
+    """What is printed at a stop: {} or a message; nothing where the settings silence it, though the stop has closed its batch all the same.
 
     ``settings``: effective configuration by project; ``sessions(sid, project, keeps_record)``. Without them all are on."""
     if sessions is not None:
@@ -129,6 +129,18 @@ def responses(stops: DataFrame, settings: DataFrame | None = None, sessions: Dat
     return stops.withColumn("output", body)
 
 
+def injected(lines: DataFrame) -> DataFrame:
+    """(project, output) of lines(project, rank, line): the lines of a session's start as one injected step; projects without a line print nothing."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")
+    rows = lines.where("line is not null").groupBy("project").agg(text.alias("text"))
+    return rows.select("project", F.to_json(F.struct(F.array(F.struct(F.col("text").alias("ephemeralMessage"))).alias("injectSteps"))).alias("output"))
+
+
+def write_responses(outputs: DataFrame, path: str, checkpoint: str):
+    """The stream of outputs as text files, a line each: the query, started on what there is."""
+    return outputs.select(F.col("output").alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def replay(classified: DataFrame) -> DataFrame:
     """The same stops from a finished log, by windows: a stop counts if a document was edited since the stop before."""
     from pyspark.sql import Window
@@ -158,17 +170,72 @@ def hash_key(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(None)).otherwise(F.lower(F.conv(hashed.cast("string"), 10, 36)))
 
 
-def due_updates(starts: DataFrame, settings: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
-    """``starts(machine, ts_ms, project)`` at which an update check is due: none yet, or the last one is as old as the settings ask.
+class UpdateChecks(StatefulProcessor):
+    """Emits the starts at which an update check is due: none yet, or the last as old as the settings ask. A check that fires moves the stamp first.
+
+    State: one number per machine. ``old_ms`` of a row is a stamp from before this state was kept; it counts until a stamp is here."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stamp = handle.getValueState("stamp", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, out = self.stamp.get()[0] if self.stamp.exists() else None, []
+        kept = last
+        for part in sorted_parts(rows):
+            for now, days, old in zip(part["ts_ms"], part["updateCheckDays"], part["old_ms"], strict=True):
+                known = last if last is not None else None if pd.isna(old) else int(old)
+                if not known or now - known >= days * DAY_MS:
+                    last = int(now)
+                    out.append((key[0], last))
+        if last is not None and last != kept:
+            self.stamp.update((last,))
+        yield pd.DataFrame(out, columns=["machine", "ts_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+DAY_MS = 86_400_000
+
+
+def sorted_parts(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
+    """A key's rows of one micro-batch in order of time; three numbers each."""
+    return [pd.concat(list(rows)).sort_values("ts_ms", kind="stable")]
+
+
+def asking(starts: DataFrame, settings: DataFrame) -> DataFrame:
+    """starts(machine, ts_ms, project, and maybe old_ms) of projects that want updates and offer anything at their start."""
+    on = settings.where("updateMode <> 'off'")
+    if {"suiteMode", "disabledCanaries"} <= set(settings.columns):
+        on = on.where("suiteMode <> 'off' and not arrays_overlap(disabledCanaries, array('conductor', 'all'))")
+    s = starts if "old_ms" in starts.columns else starts.withColumn("old_ms", F.lit(None).cast("long"))
+    return s.join(on.select("project", F.col("updateCheckDays").cast("long").alias("updateCheckDays")), "project").select("machine", "ts_ms", "updateCheckDays", "old_ms")
+
+
+def track_updates(asked: DataFrame) -> DataFrame:
+    """(machine, ts_ms) of the stream of ``asking`` rows at which a check fires, on keyed state."""
+    asked.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return asked.groupBy("machine").transformWithStateInPandas(statefulProcessor=UpdateChecks(), outputStructType="machine string, ts_ms long", outputMode="Append", timeMode="None")
+
+
+def due_updates(starts: DataFrame, settings: DataFrame) -> DataFrame:
+    """The same from a finished log of starts: a sorted pass over a machine's starts that remembers one number, in Arrow batches. No array of a machine's history is made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, last = None, None
+        for batch in batches:
+            out = []
+            for m, now, days, old in zip(batch["machine"], batch["ts_ms"], batch["updateCheckDays"], batch["old_ms"], strict=True):
+                if m != machine:
+                    machine, last = m, None
+                known = last if last is not None else None if pd.isna(old) else int(old)
+                if not known or now - known >= days * DAY_MS:
+                    last = int(now)
+                    out.append((m, last))
+            yield pd.DataFrame(out, columns=["machine", "ts_ms"])
 
-    A check that fires moves the stamp, so each start depends on the one that fired before; a fold over a machine's starts in
-    order keeps it, in one aggregate per machine."""
-    s = starts.join(settings.where("updateMode <> 'off'").select("project", "updateCheckDays"), "project")
-    lists = s.groupBy("machine").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "updateCheckDays"))).alias("all"))
+    return asking(starts, settings).repartition("machine").sortWithinPartitions("machine", "ts_ms").mapInPandas(run, "machine string, ts_ms long")
 
-    def step(a: Column, x: Column) -> Column:
-        fire = a["last"].isNull() | (x["ts_ms"] - a["last"] >= x["updateCheckDays"].cast("long") * day_ms)
-        return F.when(fire, F.struct(x["ts_ms"].alias("last"), F.concat(a["fired"], F.array(x["ts_ms"])).alias("fired"))).otherwise(a)
 
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("fired"))
-    return lists.select("machine", F.explode(F.aggregate("all", start, step, lambda a: a["fired"])).alias("ts_ms"))
+def last_stamps(fired: DataFrame) -> DataFrame:
+    return fired.groupBy("machine").agg(F.max("ts_ms").alias("last_ms"))

@@ -99,3 +99,31 @@ def test_files(spark, tmp_path):
     listed = spark.createDataFrame([(f"{tmp_path}/a.md",), ("/gone.md",)], "path string")
     assert [r.path for r in files.unreadable(listed, docs).collect()] == ["/gone.md"]
     assert sorted(r.rel_path for r in files.file_tree(spark, str(tmp_path), exclude=r"\.py$").collect()) == ["a.md", "sub/b.MARKDOWN"]
+
+
+def test_parse_is_dealt_over_the_cluster(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("# T "), "id", F.lit("\n\n"), F.repeat(F.lit("word "), F.lit(100))).alias("text")).coalesce(1)
+    found = nodes.parse_nodes(rows, types=("heading",), fields=("start_line", "text_content"))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 1000 and sum(sizes) == 3000
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert nodes.parse_nodes(rows.limit(0)).count() == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_pruned_tables_give_the_same_findings(spark):
+    docs = spark.createDataFrame([("a", "/r/a.md", DEFECTS), ("b", "/r/other.md", "## caf\u00e9 x\n"), ("c", None, None)], "doc_id string, path string, text string")
+    manifest = manifest_of(docs)
+    full = checks.check_documents(docs, nodes.parse_nodes(docs), manifest).collect()
+    assert sorted(map(str, full)) == sorted(map(str, checks.check_documents(docs, manifest=manifest).collect())) and len(full) > 10
+
+
+def test_settled_tables_are_released(spark):
+    from quillspan.operators import store
+
+    kept = store.settled(spark.range(5).toDF("x"))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    import os
+
+    assert kept.count() == 5 and os.path.isdir(path)
+    store.release(spark)
+    assert not os.path.isdir(path)

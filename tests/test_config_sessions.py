@@ -123,3 +123,31 @@ def test_marks_and_sections(spark):
     assert [r.text for r in reports.empty_sections(found).collect()] == ["Empty"]
     need = spark.createDataFrame([("Usage",), ("License",)], "section string")
     assert [r.section for r in reports.missing_sections(found, need).collect()] == ["license"]
+    with pytest.raises(ValueError):
+        reports.missing_sections(found, spark.range(reports.MOST_SECTIONS + 1).selectExpr("cast(id AS string) AS section"))
+
+
+def test_contradictions_of_every_two_values(spark):
+    facts = spark.createDataFrame([(1, "t", "v1"), (2, "t", "v2"), (3, "t", "v3"), (4, "t", "v1"), (0, "t", None), (5, "u", "x"), (6, "u", "x"), (7, None, "y")], "doc_id long, term string, value string")
+    got = {(r.term, r.value_a, r.site, r.value_b, r.cited) for r in reports.contradictions(facts).collect()}
+    assert got == {("t", "v1", 1, "v2", 2), ("t", "v1", 1, "v3", 3), ("t", "v2", 2, "v3", 3)}
+    assert {(r.value, r.doc_id) for r in reports.statements(facts).collect()} == {("v1", 1), ("v1", 4), ("v2", 2), ("v3", 3)}
+    assert [tuple(r) for r in reports.disagreements(facts).collect()] == [("t", 3, 4)]
+
+
+def test_updates_as_a_stream_over_batches(spark, tmp_path):
+    day = sessions.DAY_MS
+    rows = [("m", t * day, 2, None) for t in (1, 2, 3, 4, 5)] + [("n", t * day, 3, 2 * day) for t in (3, 4, 5, 6, 9)]
+    schema = "machine string, ts_ms long, updateCheckDays long, old_ms long"
+    for i in range(1, 10):
+        spark.createDataFrame([r for r in rows if r[1] == i * day] or [], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    run = sessions.track_updates(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted((r.machine, r.ts_ms // day) for r in spark.read.schema("machine string, ts_ms long").parquet(f"{tmp_path}/out").collect())
+    assert got == [("m", 1), ("m", 3), ("m", 5), ("n", 5), ("n", 9)]
+
+
+def test_global_file_is_the_one_of_least_rank(spark):
+    raw = spark.createDataFrame([(None, "global", 2, '{"updateCheckDays": 3}'), (None, "global", 1, '{"updateCheckDays": 5}'), ("p", "project", 0, "{}")], "project string, layer string, candidate_rank int, raw string")
+    assert [r.updateCheckDays for r in config.effective(raw).collect()] == [5]
