@@ -45,13 +45,17 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """hash_words of many texts, a bounded part at a time: the tables of hash_words are 40 times as large as its text."""
-    counts, parts = np.zeros(len(texts) + 1, np.int64), []
+    """hash_words of many texts, a bounded part at a time: the tables of hash_words are 40 times as large as its text.
+
+    The features go into one array with room for a word per two bytes; what is not written to takes no memory."""
+    counts, used = np.zeros(len(texts) + 1, np.int64), 0
+    out = np.empty((sum(len(t) + 3 for t in texts) // 2 + 1, 1 + len(PREFIXES)), np.int32)
     for owners, group in grouped(texts, 1 << 20):
         features, bounds = hash_words(group)
-        parts.append(features)
+        out[used : used + len(features)] = features
+        used += len(features)
         np.add.at(counts, np.array(owners) + 1, np.diff(bounds))
-    return np.concatenate(parts) if parts else np.zeros((0, 1 + len(PREFIXES)), np.int32), np.cumsum(counts)
+    return out[:used], np.cumsum(counts)
 
 
 class Model:
@@ -240,9 +244,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, max_p
 
 def fit(docs: DataFrame, labels: DataFrame, *, keep: Column | None = None, max_per_label: int = MAX_PER_LABEL, max_train_bytes: int = MAX_TRAIN_BYTES) -> Classifier:
     """Train, scale and find thresholds. ``keep``: which documents may be learnt from, over columns _id and _text."""
-    found = labelled_rows(docs, labels, keep, max_per_label, max_train_bytes).collect()  # 2 x max_per_label rows and max_train_bytes at most
-    found.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), str(r["_id"])))
-    rows = [(r["_text"].encode("utf-8", "surrogatepass"), r["_lang"], r["_toxic"]) for r in found]
+    found = labelled_rows(docs, labels, keep, max_per_label, max_train_bytes).toLocalIterator()  # a partition at a time: 2 x max_per_label rows and max_train_bytes in all, at most
+    rows = [(zlib.crc32(str(r["_id"]).encode()), str(r["_id"]), r["_text"].encode("utf-8", "surrogatepass"), r["_lang"], r["_toxic"]) for r in found]
+    rows = [r[2:] for r in sorted(rows, key=lambda r: r[:2])]
     toxic = np.array([r[2] for r in rows], np.float32)
     held = np.arange(len(rows)) % 5 == 4
     model = train([r[0] for r, h in zip(rows, held, strict=True) if not h], toxic[~held])
