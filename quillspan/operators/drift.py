@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,47 +44,81 @@ def list_drift(listed: DataFrame, there: DataFrame) -> DataFrame:
     return listed.select("name").exceptAll(there.select("name")).withColumn("side", F.lit("listed")).unionByName(there.select("name").exceptAll(listed.select("name")).withColumn("side", F.lit("there")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it: as plain columns each use would compute it again, below branches and lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def front_matter(text: Column) -> Column:
     return F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---", 1)
 
 
+def front_lines(text: Column) -> Column:
+    """The lines of the front matter; without one, an empty line."""
+    return F.split(front_matter(text), r"\r?\n", -1)
+
+
+def line_of(lines: Column, key: str) -> Column:
+    """Where a field begins, from 1; 0 where it is absent."""
+    return F.array_position(F.transform(lines, lambda x: x.startswith(f"{key}:")), True).cast("int")
+
+
+def block_end(below: Column) -> Column:
+    """The first line, from 1, that is not indented; 0 if all are."""
+    return F.array_position(F.transform(below, lambda x: x.rlike(rf"^[{WS_CLASS}]+[^{WS_CLASS}]")), False).cast("int")
+
+
+def field_of(lines: Column, key: str) -> Column:
+    """A field of front_lines: bare, quoted, or a block whose indented lines are joined by spaces; null where it is absent."""
+
+    def block(below: Column) -> Column:
+        return let(block_end(below), lambda ended: F.array_join(F.transform(F.when(ended > 0, F.slice(below, F.lit(1), ended - 1)).otherwise(below), trim_col), " "))
+
+    def value(at: Column) -> Column:
+        below = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
+        quoted = lambda own: own.rlike(r"""^(?:"[\s\S]*"|'[\s\S]*')\z""") & (F.char_length(own) > 1)
+        read = lambda own: F.when(own.rlike(r"^[>|][-+]?\z"), let(below, block)).when(quoted(own), F.substr(own, F.lit(2), F.char_length(own) - 2)).otherwise(own)
+        return F.when(at > 0, let(trim_col(F.substr(F.element_at(lines, at), F.lit(len(key) + 2))), read))
+
+    return let(line_of(lines, key), value)
+
+
 def front_field(text: Column, key: str) -> Column:
-    """A field of the front matter: bare, quoted, or a block whose indented lines are joined by spaces; null where it is absent."""
-    lines = F.split(front_matter(text), r"\r?\n", -1)
-    at = F.array_position(F.transform(lines, lambda x: x.startswith(f"{key}:")), True)
-    own = trim_col(F.substr(F.element_at(lines, at.cast("int")), F.lit(len(key) + 2)))
-    below = F.slice(lines, (at + 1).cast("int"), F.greatest(F.size(lines) - at, F.lit(0)).cast("int"))
-    ended = F.array_position(F.transform(below, lambda x: x.rlike(rf"^[{WS_CLASS}]+[^{WS_CLASS}]")), False)
-    block = F.array_join(F.transform(F.when(ended > 0, F.slice(below, 1, (ended - 1).cast("int"))).otherwise(below), trim_col), " ")
-    quoted = own.rlike(r"""^(?:"[\s\S]*"|'[\s\S]*')\z""") & (F.char_length(own) > 1)
-    value = F.when(own.rlike(r"^[>|][-+]?\z"), block).when(quoted, F.substr(own, F.lit(2), F.char_length(own) - 2)).otherwise(own)
-    return F.when(text.rlike(r"^---\r?\n[\s\S]*?\r?\n---") & (at > 0), value)
+    """field_of the front matter of ``text``."""
+    return let(front_lines(text), lambda lines: field_of(lines, key))
+
+
+def described_length(lines: Column) -> Column:
+    return utf16_length_col(F.coalesce(field_of(lines, "description"), F.lit(""))) + utf16_length_col(F.coalesce(field_of(lines, "when_to_use"), F.lit("")))
 
 
 def description_length(text: Column) -> Column:
-    return utf16_length_col(F.coalesce(front_field(text, "description"), F.lit(""))) + utf16_length_col(F.coalesce(front_field(text, "when_to_use"), F.lit("")))
+    return let(front_lines(text), described_length)
 
 
 def trim_description(text: Column, limit: int = SHORT_LIMIT) -> Column:
     """At most ``limit`` characters: cut at the last space that leaves room for the dots."""
-    cut = F.substring(text, 1, limit - 3)
-    back = F.instr(F.reverse(cut), F.lit(" "))
-    kept = F.when((back > 0) & (back < limit - 3), F.substr(cut, F.lit(1), F.lit(limit - 3) - back)).otherwise(cut)
-    return F.when(utf16_length_col(text) <= limit, text).otherwise(F.concat(F.rtrim(kept, F.lit(WS)), F.lit("...")))
+
+    def kept(cut: Column) -> Column:
+        return let(F.instr(F.reverse(cut), F.lit(" ")), lambda back: F.when((back > 0) & (back < limit - 3), F.substr(cut, F.lit(1), F.lit(limit - 3) - back)).otherwise(cut))
+
+    return let(text, lambda t: F.when(utf16_length_col(t) <= limit, t).otherwise(F.concat(F.rtrim(let(F.substring(t, 1, limit - 3), kept), F.lit(WS)), F.lit("..."))))
 
 
 def replace_description(text: Column, value: Column) -> Column:
     """The front matter's description as one quoted line."""
     escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    lines = F.split(front_matter(text), r"\r?\n", -1)
-    at = F.array_position(F.transform(lines, lambda x: x.startswith("description:")), True).cast("int")
-    below = F.slice(lines, at + 1, F.size(lines) - at)
-    ended = F.array_position(F.transform(below, lambda x: x.rlike(rf"^[{WS_CLASS}]+[^{WS_CLASS}]")), False).cast("int")
-    block = trim_col(F.substr(F.element_at(lines, at), F.lit(13))).rlike(r"^[>|][-+]?\z")
-    rest = F.when(~block, below).when(ended > 0, F.slice(below, ended, F.size(below) - ended + 1)).otherwise(F.slice(below, 1, 0))
-    new = F.concat(F.slice(lines, 1, at - 1), F.array(F.concat(F.lit('description: "'), escaped, F.lit('"'))), rest)
     tail = F.regexp_replace(text, r"^---\r?\n[\s\S]*?\r?\n---", "")
-    return F.when(at > 0, F.concat(F.lit("---\n"), F.array_join(new, "\n"), F.lit("\n---"), tail)).otherwise(text)
+
+    def replaced(lines: Column, at: Column) -> Column:
+        below = F.slice(lines, at + 1, F.size(lines) - at)
+        block = trim_col(F.substr(F.element_at(lines, at), F.lit(13))).rlike(r"^[>|][-+]?\z")
+        left = lambda under: let(block_end(under), lambda ended: F.when(ended > 0, F.slice(under, ended, F.size(under) - ended + 1)).otherwise(F.slice(under, 1, 0)))
+        rest = F.when(~block, below).otherwise(let(below, left))
+        new = F.concat(F.slice(lines, F.lit(1), at - 1), F.array(F.concat(F.lit('description: "'), escaped, F.lit('"'))), rest)
+        return F.when(at > 0, F.concat(F.lit("---\n"), F.array_join(new, "\n"), F.lit("\n---"), tail)).otherwise(text)
+
+    return let(front_lines(text), lambda lines: let(line_of(lines, "description"), lambda at: replaced(lines, at)))
 
 
 def required_files(manifest: DataFrame, required: DataFrame) -> DataFrame:
@@ -95,12 +131,13 @@ def required_files(manifest: DataFrame, required: DataFrame) -> DataFrame:
 def contract_gate(docs: DataFrame, report_line: str | None = None) -> DataFrame:
     """Contracts docs(path, text): the front matter's name is the folder's, the description is there and within its limit, and the text says where to report problems (``report_line``)."""
     folder = F.element_at(F.split("path", "/", -1), -2)
-    size = description_length(F.col("text"))
-    name, description = front_field(F.col("text"), "name"), front_field(F.col("text"), "description")
-    detail = F.when(~name.eqNullSafe(folder), "name differs from folder").when(F.coalesce(description, F.lit("")) == "", "no description").when(size > DESCRIPTION_LIMIT, "description too long")
-    if report_line is not None:
-        detail = detail.when(~F.col("text").contains(report_line), "no report line")
-    return docs.select(F.lit("contract").alias("gate"), F.col("path").alias("subject"), detail.isNull().alias("ok"), detail.alias("detail"))
+
+    def judged(lines: Column) -> Column:
+        detail = F.when(~field_of(lines, "name").eqNullSafe(folder), "name differs from folder").when(F.coalesce(field_of(lines, "description"), F.lit("")) == "", "no description").when(described_length(lines) > DESCRIPTION_LIMIT, "description too long")
+        return detail if report_line is None else detail.when(~F.col("text").contains(report_line), "no report line")
+
+    rows = docs.select(F.col("path").alias("subject"), let(front_lines(F.col("text")), judged).alias("detail"))
+    return rows.select(F.lit("contract").alias("gate"), "subject", F.col("detail").isNull().alias("ok"), "detail")
 
 
 def manifest_gate(manifests: DataFrame) -> DataFrame:
@@ -148,9 +185,13 @@ def smoke_gate(findings: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def staged(docs: DataFrame, limit: int = SHORT_LIMIT) -> DataFrame:
     """(path, ok, before, after, text) of contracts docs(path, text): the description cut to ``limit``; a contract without one fails and keeps its text."""
-    description = front_field(F.col("text"), "description")
-    short = trim_description(description, limit)
-    return docs.select("path", description.isNotNull().alias("ok"), utf16_length_col(description).alias("before"), utf16_length_col(short).alias("after"), F.when(description.isNotNull(), replace_description(F.col("text"), short)).otherwise(F.col("text")).alias("text"))
+    text = F.col("text")
+
+    def cut(description: Column) -> Column:
+        rest = lambda short: F.struct(description.isNotNull().alias("ok"), utf16_length_col(description).alias("before"), utf16_length_col(short).alias("after"), F.when(description.isNotNull(), replace_description(text, short)).otherwise(text).alias("text"))
+        return let(trim_description(description, limit), rest)
+
+    return docs.select("path", let(front_field(text, "description"), cut).alias("_cut")).select("path", "_cut.*")
 
 
 def staging_counts(rows: DataFrame) -> DataFrame:
