@@ -21,7 +21,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def settled(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` as Parquet, read back: survives lost executors, is computed once, and later readers prune its columns and row groups."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

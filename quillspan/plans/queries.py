@@ -126,9 +126,14 @@ def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _public(checks.url_findings(_orders(spark, sf_dir, "urls")))
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus and its findings. It is read for its size, its states, its paths and its nodes, so it is rendered once and written down."""
+    docs = settled(render.corpus(spark, sf_dir), "docs")
+    return docs, checks.check_documents(docs, manifest=render.manifest_of(docs))
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render.corpus(spark, sf_dir)
-    return checks.check_documents(docs, manifest=render.manifest_of(docs))
+    return _checked(spark, sf_dir)[1]
 
 
 @query("u01_all_findings", f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, \"column\")::INT AS seq FROM ({EVERY})")
@@ -143,7 +148,7 @@ def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s07_summary", f"WITH f AS (SELECT count(*) AS findings FROM ({EVERY})), d AS (SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer WHERE c_custkey % 7 <> 0) AS files) SELECT findings, files, findings || ' finding(s) across ' || files || ' file(s)' AS value FROM f, d")
 def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.summary(render.corpus(spark, sf_dir), _findings(spark, sf_dir))
+    return files.summary(*_checked(spark, sf_dir))
 
 
 @query("s07_text_lines", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, \"column\")::INT AS seq, doc_id || ':' || line || ':' || \"column\" || ' [' || \"check\" || '] ' || message AS value FROM ({EVERY})")
@@ -153,7 +158,7 @@ def s07_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s06_report_sizes", f"WITH d AS (SELECT {DOC} AS file FROM orders UNION ALL SELECT '/corpus/customers/' || c_custkey || '.md' FROM customer WHERE c_custkey % 7 <> 0), f AS (SELECT doc_id, count(*) AS n, string_agg(\"check\", ',' ORDER BY line, \"column\") AS checks FROM ({EVERY}) GROUP BY 1) SELECT file, coalesce(n, 0)::INT AS findings, coalesce(checks, '') AS checks FROM d LEFT JOIN f ON doc_id = file")
 def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = files.json_reports(render.corpus(spark, sf_dir), _findings(spark, sf_dir))
+    out = files.json_reports(*_checked(spark, sf_dir))
     found = F.from_json(F.get_json_object("value", "$.findings"), "array<struct<check:string,line:int>>")
     return out.select("file", F.size(found).alias("findings"), F.array_join(F.transform(found, lambda x: x["check"]), ",").alias("checks"))
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import drift
+from quillspan.functions import markdown
+from quillspan.operators import checks, drift
+from quillspan.plans import queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df) -> str:
@@ -23,3 +27,31 @@ def test_front_matter_is_read_once_a_row(spark):
     gate = drift.contract_gate(docs)
     assert _plan(gate.groupBy(F.coalesce("detail", F.lit("ok"))).count()).count("regexp_extract(text") == 1
     assert {r["subject"][3]: r["detail"] for r in gate.collect()} == {"a": None, "b": None, "c": "name differs from folder", "d": "name differs from folder", "e": "name differs from folder"}
+
+
+def test_corpus_is_rendered_once(spark):
+    """The findings' plan reads what was written down; nothing in it renders documents again."""
+    plan = _plan(queries._findings(spark, SF))
+    assert "l_orderkey" not in plan and "o_custkey" not in plan
+
+
+def test_texts_without_address_stay_in_the_parser():
+    """Fewer rows leave the parser; those that do are the same, numbers and places included."""
+    text = "﻿# A\n\n| a | b |\n|---|---|\n| x | http://x.y/z |\n\nplain\nwww.a.b *c*\n- [ ] task\n\n[r]: /u\n\n![i](u) [r] é\n"
+    whole, less = markdown.Sheet(), markdown.Sheet(None, checks.has_address, ("node_id",))
+    whole.add(text)
+    less.add(text)
+    names = ("node_id", "parent_id", "depth_in_tree", "child_ix", "child_count", "type", "ancestor_types", "start_line", "start_col", "value", "url", "alt", "identifier", "text_content")
+    rows = lambda sheet: list(zip(*map(sheet.column, names), strict=True))
+    kept = [r for r in rows(whole) if r[5] != "text" or checks.has_address(r[9])]
+    assert rows(less) == kept and len(kept) < len(rows(whole))
+    assert {r[9] for r in kept if r[5] == "text"} == {"http://x.y/z", "plain\nwww.a.b "}
+
+
+def test_plain_lines_are_taken_as_all_others(monkeypatch):
+    """The short way for usual lines gives the nodes of the long one, also among lists, code, tables and HTML."""
+    parts = ["# a", "## b ##", "#x", "text", "| a | b |", "|---|---|", "| x |", "- i", "> q", "```", "    code", "<div>", "[x]: /u", "===", "1. n", "", "", "*e* [x]", " z", "9"]
+    texts = ["\n".join(parts[(i * k + i * i // 3) % len(parts)] for i in range(k % 11 + 2)) for k in range(1, 400)]
+    short = [markdown.flatten(t) for t in texts]
+    monkeypatch.setattr(markdown.Blocks, "plain", lambda *_: False)
+    assert short == [markdown.flatten(t) for t in texts]
