@@ -5,7 +5,7 @@ types and fields that are asked for are made; and what several queries read is w
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,12 +61,12 @@ def dealt(ready: DataFrame) -> DataFrame:
     return ready.repartition(int(max(1, least, min(MOST_TASKS, size // TASK_BYTES))))
 
 
-def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None, deal: bool = True, keep: Callable[[str], object] | None = None) -> DataFrame:
+def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None, deal: bool = True, marks: tuple[str, ...] | None = None) -> DataFrame:
     """The node table of ``docs(doc_id, text)``: doc_id and ``fields`` (default FIELDS), a row per node of ``types`` (default all).
 
     Numbers of nodes are those of the whole tree, whatever is left out. Refused documents are filtered before they reach Python.
     ``deal``: False keeps the rows where they are, for inputs that are already spread evenly.
-    ``keep``: of text nodes, only those whose value it takes get a row; it must be importable where the tasks run."""
+    ``marks``: of text nodes, only those with one of them in their value get a row."""
     names = tuple(FIELDS) if fields is None else fields
     ready = with_status(docs.select("doc_id", "text")).where("scan_status = 'scanned'").select("doc_id", "text")
     ready = dealt(ready) if deal else ready
@@ -79,14 +79,14 @@ def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sheet, first, chars = batch.column(0), Sheet(wanted, keep, names), 0, 0
+            ids, sheet, first, chars = batch.column(0), Sheet(wanted, marks, names), 0, 0
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
                 sheet.add(text)
                 chars += len(text)
                 if chars >= BATCH_CHARS:
                     yield rows_of(sheet, ids.slice(first, i + 1 - first))
-                    sheet, first, chars = Sheet(wanted, keep, names), i + 1, 0
+                    sheet, first, chars = Sheet(wanted, marks, names), i + 1, 0
             if sheet.texts:
                 yield rows_of(sheet, ids.slice(first))
 

@@ -33,17 +33,27 @@ def test_corpus_is_rendered_once(spark):
     """The findings' plan reads what was written down; nothing in it renders documents again."""
     plan = _plan(queries._findings(spark, SF))
     assert "l_orderkey" not in plan and "o_custkey" not in plan
+    assert "aggregate(split(" not in plan  # paths are resolved before, not again by each reader of the targets
+
+
+def test_headings_are_looked_at_once(spark):
+    """The three checks of headings come from one pass; a heading may break several rules."""
+    docs = spark.createDataFrame([("d", "# A\n\n### B\n\n# A\n\n# A\n\n#### B\n"), ("e", "# A\n\n## B\n")], "doc_id string, text string")
+    found = checks.heading_findings(checks.parsed_for(docs, "headings"))
+    assert _plan(found).count("MapInArrow") == 1
+    rows = sorted((r["doc_id"], r["line"], r["_rank"], r["check"]) for r in found.collect())
+    assert rows == [("d", 3, 0, "heading-skip"), ("d", 5, 1, "heading-multiple-h1"), ("d", 5, 2, "heading-duplicate"), ("d", 7, 1, "heading-multiple-h1"), ("d", 7, 2, "heading-duplicate"), ("d", 9, 0, "heading-skip")]
 
 
 def test_texts_without_address_stay_in_the_parser():
     """Fewer rows leave the parser; those that do are the same, numbers and places included."""
     text = "﻿# A\n\n| a | b |\n|---|---|\n| x | http://x.y/z |\n\nplain\nwww.a.b *c*\n- [ ] task\n\n[r]: /u\n\n![i](u) [r] é\n"
-    whole, less = markdown.Sheet(), markdown.Sheet(None, checks.has_address, ("node_id",))
+    whole, less = markdown.Sheet(), markdown.Sheet(None, checks.ADDRESS_MARKS, ("node_id",))
     whole.add(text)
     less.add(text)
     names = ("node_id", "parent_id", "depth_in_tree", "child_ix", "child_count", "type", "ancestor_types", "start_line", "start_col", "value", "url", "alt", "identifier", "text_content")
     rows = lambda sheet: list(zip(*map(sheet.column, names), strict=True))
-    kept = [r for r in rows(whole) if r[5] != "text" or checks.has_address(r[9])]
+    kept = [r for r in rows(whole) if r[5] != "text" or any(m in r[9] for m in checks.ADDRESS_MARKS)]
     assert rows(less) == kept and len(kept) < len(rows(whole))
     assert {r[9] for r in kept if r[5] == "text"} == {"http://x.y/z", "plain\nwww.a.b "}
 
