@@ -41,7 +41,9 @@ def with_status(docs: DataFrame) -> DataFrame:
     # Units and characters differ by the astral ones before the NUL, which only texts with a NUL at all need to count.
     head = F.substring_index(F.substring("text", 1, NUL_REACH), "\0", 1)
     nul = F.contains("text", F.lit("\0")) & F.contains(F.substring("text", 1, NUL_REACH), F.lit("\0")) & (utf16_length_col(head) < NUL_REACH)
-    status = F.when(F.col("text").isNull(), "unscanned").when(units > LARGEST, "too-large").when(nul, "unreadable").otherwise("scanned")
+    # A text has no more units than bytes, and its bytes are known: only long ones need counting.
+    large = F.when(F.octet_length("text") > LARGEST, units > LARGEST).otherwise(False)
+    status = F.when(F.col("text").isNull(), "unscanned").when(large, "too-large").when(nul, "unreadable").otherwise("scanned")
     return docs.withColumn("units", units).withColumn("scan_status", status)
 
 
@@ -61,12 +63,12 @@ def dealt(ready: DataFrame) -> DataFrame:
     return ready.repartition(int(max(1, least, min(MOST_TASKS, size // TASK_BYTES))))
 
 
-def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None, deal: bool = True, marks: tuple[str, ...] | None = None) -> DataFrame:
+def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None, deal: bool = True, marks: tuple[str, ...] | None = None, outside: tuple[str, ...] = ()) -> DataFrame:
     """The node table of ``docs(doc_id, text)``: doc_id and ``fields`` (default FIELDS), a row per node of ``types`` (default all).
 
     Numbers of nodes are those of the whole tree, whatever is left out. Refused documents are filtered before they reach Python.
     ``deal``: False keeps the rows where they are, for inputs that are already spread evenly.
-    ``marks``: of text nodes, only those with one of them in their value get a row."""
+    ``marks``: of text nodes, only those with one of them in their value get a row; ``outside``: and none below nodes of these types."""
     names = tuple(FIELDS) if fields is None else fields
     ready = with_status(docs.select("doc_id", "text")).where("scan_status = 'scanned'").select("doc_id", "text")
     ready = dealt(ready) if deal else ready
@@ -79,14 +81,14 @@ def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sheet, first, chars = batch.column(0), Sheet(wanted, marks, names), 0, 0
+            ids, sheet, first, chars = batch.column(0), Sheet(wanted, marks, names, names, outside), 0, 0
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
                 sheet.add(text)
                 chars += len(text)
                 if chars >= BATCH_CHARS:
                     yield rows_of(sheet, ids.slice(first, i + 1 - first))
-                    sheet, first, chars = Sheet(wanted, marks, names), i + 1, 0
+                    sheet, first, chars = Sheet(wanted, marks, names, names, outside), i + 1, 0
             if sheet.texts:
                 yield rows_of(sheet, ids.slice(first))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillspan.functions import markdown
-from quillspan.operators import checks, drift
+from quillspan.operators import checks, drift, nodes
 from quillspan.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +67,64 @@ def test_plain_lines_are_taken_as_all_others(monkeypatch):
     short = [markdown.flatten(t) for t in texts]
     monkeypatch.setattr(markdown.Blocks, "plain", lambda *_: False)
     assert short == [markdown.flatten(t) for t in texts]
+
+
+def _node_rows(text: str, marks: tuple | None, types: frozenset | None = None, outside: tuple = ()) -> list[tuple]:
+    sheet = markdown.Sheet(types, marks, outside=outside)
+    sheet.add(text)
+    return list(zip(*map(sheet.column, markdown.FIELDS), strict=True))
+
+
+LINKISH_PARTS = ["see ", "[a](b)", "[a]( b )", "[a](<b>)", "[](x)", "![](x.png)", "![i](http://x.y/i.png)", "[t][r]", "[t][ ]", "![t][R s]", "[t][]", "[r]", "<http://a.b/c>", "<x:y z>", "<i>", "!", "*", "**b**", "`c`", "\\", "\\[", " www.a.b ", "http://q", "(x)", ")", "]", "[", "_", "~~", "\U0001f600", "é", "[http://l](u(v))", "[a](b \"t\")", "[a](" + "u" * 2048 + ")", "[a](" + "u" * 2049 + ")", "\u00a0", "\n", "# ", "| ", " |", "|\n| --- | --- |\n| ", "|x||", "- ", "- [ ] ", "> ", "\n\n", "\n\n[r]: /u\n\n", "\t", "\r\n", "\ufeff"]
+
+
+def test_quick_ways_give_the_nodes_of_the_long_ones(monkeypatch):
+    """Links, references and rows that are read in one go, against the parser without these ways: all nodes but unmarked texts and cells."""
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(LINKISH_PARTS, k=draw.randint(1, 9))) for _ in range(4000)]
+    texts += ["| " + draw.choice(["a", "[a](b)", "\u00a0", ""]) + " | b |\n" + draw.choice(["|---|---|", "|:-|-:|", "|---|"]) + "\n" + "".join(draw.choices(["| 1 | 2 |", "|1|", "||", "| x | y | z |", "\n", "x", " ", "| www.a |", "\\|", "|\t|"], k=5)) for _ in range(1500)]
+    rows = frozenset(("heading", "link", "image", "linkReference", "imageReference", "definition", "tableRow", "text", "html", "root", "paragraph"))
+    quick = [(_node_rows(t, checks.ADDRESS_MARKS), _node_rows(t, checks.ADDRESS_MARKS, rows), _node_rows(t, checks.ADDRESS_MARKS, rows, checks.LINKISH)) for t in texts]
+    used = []
+    found = markdown.quick_parts
+    monkeypatch.setattr(markdown, "quick_parts", lambda source, at: used.append(found(source, at)))  # gives None
+    monkeypatch.setattr(markdown.Blocks, "short", lambda *_: None)
+    kind, value, above = map(markdown.FIELDS.index, ("type", "value", "ancestor_types"))
+    for text, (every, some, free) in zip(texts, quick, strict=True):
+        whole = _node_rows(text, None)
+        kept = [r for r in whole if r[kind] != "text" or any(m in r[value] for m in checks.ADDRESS_MARKS)]
+        assert every == kept, text
+        assert some == [r for r in kept if r[kind] in rows], text
+        assert free == [r for r in some if r[kind] != "text" or not set(r[above]) & set(checks.LINKISH)], text
+        markdown.tree_of(text, markdown.re.compile("://"))
+    assert sum(p is not None for p in used) > 300 and sum(p is None for p in used) > 300
+
+
+def test_usual_links_and_rows_take_the_quick_way(monkeypatch):
+    """Findings queries parse millions of such lines: no inline parser and no cell is made for them."""
+    text = "# Order 1\n\nStatus O for [customer](../c/1.md#c).\n\nSee [terms][t1].\n\n![item](https://x.y/1.png)\n\nSource <https://x.y/o> here.\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
+    sheet = markdown.Sheet(frozenset(("link", "image", "linkReference", "tableRow", "text")), checks.ADDRESS_MARKS)
+    monkeypatch.setattr(markdown, "Inlines", None)
+    monkeypatch.setattr(markdown, "table_row", None)
+    sheet.add(text)
+    assert sheet.column("type") == ["link", "linkReference", "image", "link", "text", "tableRow", "tableRow"]
+
+
+def test_units_are_counted_for_long_texts_only(spark):
+    """The guards cost a pass over the bytes' number; what they refuse is the same."""
+    sizes = {"a": "x" * 524288, "b": "x" * 524289, "c": "é" * 524288, "d": "é" * 524289, "e": "\U0001f600" * 262144, "f": "\U0001f600" * 262145, "g": "a\0", "h": None}
+    status = nodes.with_status(spark.createDataFrame(list(sizes.items()), "doc_id string, text string"))
+    assert "octet_length(text" in _plan(status.select("scan_status"))  # asked before the text is encoded to count its units
+    got = {r["doc_id"]: r["scan_status"] for r in status.collect()}
+    assert got == {"a": "scanned", "b": "too-large", "c": "scanned", "d": "too-large", "e": "scanned", "f": "too-large", "g": "unreadable", "h": "unscanned"}
+
+
+def test_references_are_settled_in_one_pass(spark):
+    """Uses and definitions meet in one shuffle; the last definition speaks, at the first one's place in the order."""
+    docs = spark.createDataFrame([("d", "[a][b] [c][D] [q][r]\n\n[d]: /1\n\n[X]: /2\n\n[x]: /3\n\n![i][no]\n"), ("e", "[r]: /u\n")], "doc_id string, text string")
+    found = checks.reference_findings(checks.parsed_for(docs, "references").persist())
+    rows = sorted((r["doc_id"], r["line"], r["check"], r["message"].split("'")[1], r["_node"]) for r in found.collect())
+    assert [r[:4] for r in rows] == [("d", 1, "ref-undefined", "[b]"), ("d", 1, "ref-undefined", "[r]"), ("d", 7, "def-orphan", "[x]"), ("d", 9, "ref-undefined", "[no]"), ("e", 1, "def-orphan", "[r]")]
+    full = checks.parsed_for(docs, "references").where("type = 'definition' and label = 'X'").first()["node_id"]
+    assert rows[2][4] == full
+    assert "Join" not in _plan(found)
