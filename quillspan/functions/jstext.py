@@ -23,6 +23,7 @@ ESCAPABLE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ESCAPED = re.compile(r"\\([%s])" % re.escape(ESCAPABLE))
 _GAP = re.compile(r"[ \t\r\n]+")
 _SPACE = re.compile(f"[{WS_CLASS}]")
+_NOT_IN_SLUG = re.compile(r"[^a-z0-9_\t\n\x0b\x0c\r -]")
 
 
 def trim(s: str) -> str:
@@ -38,6 +39,8 @@ def label_key(label: str) -> str:
 
 
 def slug(text: str) -> str:
+    if text.isascii():
+        return _SPACE.sub("-", _NOT_IN_SLUG.sub("", trim(text).lower()))
     kept = (c for c in trim(text).lower() if c in "_-" or c in WS or unicodedata.category(c)[0] in "LMN")
     return _SPACE.sub("-", "".join(kept))
 
@@ -99,11 +102,16 @@ def safe_decode_col(c: Column) -> Column:
 
 
 def resolve_path_col(base_dir: Column, rel: Column) -> Column:
-    """Absolute path of ``rel`` against ``base_dir``: dots resolved, an absolute ``rel`` as it is."""
+    """Absolute path of ``rel`` against ``base_dir``: dots resolved, an absolute ``rel`` as it is.
+
+    Most paths have nothing to resolve but one step up; they are joined without looking at every part."""
     joined = F.when(rel.startswith("/"), rel).otherwise(F.concat_ws("/", base_dir, rel))
 
     def step(parts: Column, x: Column) -> Column:
         up = F.when(F.size(parts) > 0, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
         return F.when((x == "") | (x == "."), parts).when(x == "..", up).otherwise(F.concat(parts, F.array(x)))
 
-    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(joined, "/", -1), F.expr("cast(array() as array<string>)"), step), "/"))
+    parts = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(joined, "/", -1), F.expr("cast(array() as array<string>)"), step), "/"))
+    plain, tidy = r"[^/.][^/]*(?:/[^/.][^/]*)*\z", base_dir.rlike(r"^(?:/[^/.][^/]*)+\z")
+    above = F.concat(F.regexp_replace(base_dir, r"/[^/]*\z", ""), F.substr(rel, F.lit(3)))
+    return F.when(tidy & rel.rlike(f"^{plain}"), F.concat(base_dir, F.lit("/"), rel)).when(tidy & rel.rlike(rf"^\.\./{plain}"), above).otherwise(parts)

@@ -214,7 +214,7 @@ def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w03_siblings", f"SELECT doc_id, (1 + 2 * k)::INT AS start_line, (n + 1)::INT AS sibling, (min(1 + 2 * k) OVER (PARTITION BY doc_id, seg))::INT AS first_line FROM ({_NATION}) UNION ALL SELECT DISTINCT doc_id, 1, 1, 1 FROM ({_NATION})")
 def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.headings(checks.parsed_for(render.nation_docs(spark, sf_dir), "headings")).select("doc_id", "start_line", "sibling", "first_line")
+    return checks.headings(checks.parsed_for(render.nation_docs(spark, sf_dir), "headings", whole=True)).select("doc_id", "start_line", "sibling", "first_line")
 
 
 @query("p_node_counts", "WITH i AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE (l_orderkey + rn) % 5 = 0) AS wide FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey) AS rn FROM lineitem) GROUP BY 1) SELECT sum(coalesce(n, 0) + 1)::BIGINT AS table_rows, sum(3 + 3 * coalesce(n, 0) + coalesce(wide, 0))::BIGINT AS cells, count(*) FILTER (WHERE o_orderkey % 10 <> -1) AS images, (count(*) FILTER (WHERE o_orderkey % 8 <> 0) + count(*) FILTER (WHERE o_orderkey % 9 = 0))::BIGINT AS definitions FROM orders LEFT JOIN (SELECT * FROM i) ON l_orderkey = o_orderkey")

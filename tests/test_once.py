@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspan.functions import markdown
+from quillspan.functions.jstext import resolve_path_col
 from quillspan.operators import checks, drift, nodes
 from quillspan.plans import queries
 
@@ -128,3 +129,62 @@ def test_references_are_settled_in_one_pass(spark):
     full = checks.parsed_for(docs, "references").where("type = 'definition' and label = 'X'").first()["node_id"]
     assert rows[2][4] == full
     assert "Join" not in _plan(found)
+
+
+USUAL = ["# A", "## A ##", "## b c", "### ", "#x", "plain", "*e*", "see [a](b)", "[a](#a)", "[a](#a-1)", "[a](#A)", "[b](#b%20c) [b](#b-c)", "[x](../c/d.md#a) and [x](/abs) [y](e.md#zz)", "![](i.png)", "![ ](http://x/y)", "![alt](http://x/y)", "![alt](no.png)", "![alt](#a)", "see [t][r1] and [u][R1]", "![][r1]", "![i][r2]", "[r1]: /u", "[R1]: #a 't'", "[r2]: c.md", "[ ]: x", "[r1]", "[q][]", "go http://x.y/z.", "<http://a.b/c> www.q.r", "| a | b |\n| --- | --- |", "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 1 | 2 | 3 |\n| 1 |", "| a |\n|---|\n| 1 | 2 |\n| 1 |\n| x | y | z |", "| a | b |\n| --- |\n| 1 |", "| a |\n|---|\n| http://x.y | 2 |", "| a |\n|---|\ntext | 2 |", "two\nlines", "- i", "```\n# z\n\n[a](#q)\n```", "> q", "<div id=\"a\">", "é [a](#é)", "# é", "===", "", "\nx", " z", "a\r"]
+
+
+def _usual_texts(n: int) -> list[str]:
+    draw = random.Random(11)
+    return ["\n\n".join(draw.choices(USUAL[: 33 if i % 4 else None], k=draw.randint(1, 9))) + draw.choice(["", "\n", "\n\n"]) for i in range(n)]
+
+
+def test_texts_read_in_one_go_give_the_nodes_of_the_long_way(monkeypatch):
+    """Fields and rows are the same, with no target left out."""
+    wanted = frozenset(t for need in checks.NEEDS.values() for t in need[0])
+    names, quick = markdown.QUICK_FIELDS, 0
+    for text in _usual_texts(4000):
+        short, full = (markdown.Sheet(wanted, checks.ADDRESS_MARKS, names, None, checks.LINKISH) for _ in range(2))
+        full.quick = None
+        short.add(text)
+        full.add(text)
+        rows = lambda sheet: list(zip(sheet.numbers(), *map(sheet.column, names), strict=True))
+        assert rows(short) == rows(full), text
+        quick += bool(short.quick_rows)
+    assert quick > 800
+
+
+def test_nodes_left_out_are_those_of_no_finding(spark):
+    """Findings of all nodes and of those that are left are the same."""
+    docs = spark.createDataFrame([(f"/c/{i}.md", f"/c/{'d' if i == 1 else i}.md", t) for i, t in enumerate(_usual_texts(1200))], "doc_id string, path string, text string").repartition(4).persist()
+    manifest = docs.select("path").unionByName(spark.createDataFrame([("/c/c.md",), ("/c/b",)], "path string"))
+    fields = tuple(dict.fromkeys((*checks.PLACE, *(f for need in checks.NEEDS.values() for f in need[1]))))
+    types = tuple(dict.fromkeys(t for need in checks.NEEDS.values() for t in need[0]))
+    whole = nodes.parse_nodes(docs, types=types, fields=fields, marks=checks.ADDRESS_MARKS, outside=checks.LINKISH).persist()
+    less = checks.parsed_for(docs).persist()
+    found = [sorted(map(tuple, checks.check_documents(docs, nodes=n, manifest=manifest).collect()), key=repr) for n in (whole, less)]
+    assert found[0] == found[1] and len({r[1] for r in found[0]}) == 10
+    assert less.count() < whole.count()
+
+
+def test_orders_are_read_in_one_go(monkeypatch):
+    """What the findings' queries parse millions of takes no tree, and of its nodes only those that a check may use get a row."""
+    text = "# Order 1\n\n## Details\n\nStatus O for [customer](../c/1.md#c).\n\nJump to [details](#details).\n\nSee [terms][t1].\n\n![item](https://x.y/1.png)\n\nSource <https://x.y/o> here.\n\n[t1]: https://x.y/t\n\n(none)\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
+    monkeypatch.setattr(markdown, "tree_of", None)
+    sheet = markdown.Sheet(frozenset(t for need in checks.NEEDS.values() for t in need[0]), checks.ADDRESS_MARKS, markdown.QUICK_FIELDS, None, checks.LINKISH, checks.EXTERNAL)
+    sheet.add(text)
+    assert list(zip(sheet.column("type"), sheet.column("start_line"), sheet.column("url"))) == [("root", 1, None), ("heading", 1, None), ("heading", 3, None), ("link", 5, "../c/1.md#c")]
+    assert sheet.column("heading_depth") == [None] * 4
+
+
+def test_paths_without_dots_are_joined(spark):
+    """The short way of resolving gives what looking at every part does, here as os.path does it."""
+    import posixpath
+
+    folders = ["/a", "/a/b", "", "/", "/a/../b", "/a//b", "/a/.b", "/a/b.c"]
+    rels = ["x.md", "../x.md", "../../x", "./x", "a/b/c.md", "a//b", "../a/b", "../a/../b", "..", "../", "../.x", "a/", ".x", "...", "/r/s", "../../../../x", "..x/y", "a b/\u00e9", "a\n", "x/."]
+    rows = [(f, r) for f in folders for r in rels]
+    got = spark.createDataFrame(rows, "f string, r string").select("f", "r", resolve_path_col(F.col("f"), F.col("r")).alias("p")).collect()
+    assert len(got) == len(rows)
+    for f, r, p in got:
+        assert p == posixpath.normpath("/" + (r if r.startswith("/") else f"{f}/{r}")).replace("//", "/"), (f, r)
