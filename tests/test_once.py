@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import markdown
 from quillspan.functions.jstext import resolve_path_col
 from quillspan.operators import checks, drift, nodes
-from quillspan.plans import queries
+from quillspan.plans import more, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -188,3 +188,13 @@ def test_paths_without_dots_are_joined(spark):
     assert len(got) == len(rows)
     for f, r, p in got:
         assert p == posixpath.normpath("/" + (r if r.startswith("/") else f"{f}/{r}")).replace("//", "/"), (f, r)
+
+
+def test_outcomes_need_no_messages(spark, monkeypatch):
+    """The findings that outcomes are told of are written down with the columns that are asked for, without order or text."""
+    written, kept = [], more.settled
+    monkeypatch.setattr(more, "settled", lambda df, what: written.append((what, df.columns, _plan(df))) or kept(df, what))
+    rows = {r["outcome"]: r["n"] for r in more.r10(spark, SF).collect()}
+    assert set(rows) == {"fixed", "skipped", "none"}
+    [(what, columns, plan)] = written
+    assert (what, columns) == ("findings", ["doc_id", "check", "line"]) and "in prose" not in plan
