@@ -63,26 +63,28 @@ def dealt(ready: DataFrame) -> DataFrame:
     return ready.repartition(int(max(1, least, min(MOST_TASKS, size // TASK_BYTES))))
 
 
-def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None, deal: bool = True, marks: tuple[str, ...] | None = None, outside: tuple[str, ...] = (), external: str | None = None) -> DataFrame:
+def parse_nodes(docs: DataFrame, *, types: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None, deal: bool = True, marks: tuple[str, ...] | None = None, outside: tuple[str, ...] = (), external: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """The node table of ``docs(doc_id, text)``: doc_id and ``fields`` (default FIELDS), a row per node of ``types`` (default all).
 
     Numbers of nodes are those of the whole tree, whatever is left out. Refused documents are filtered before they reach Python.
     ``deal``: False keeps the rows where they are, for inputs that are already spread evenly.
     ``marks``: of text nodes, only those with one of them in their value get a row; ``outside``: and none below nodes of these types.
+    ``carry``: columns of ``docs`` that each row repeats, after doc_id, so that nobody has to join them later.
     ``external``: if given, of texts that the parser reads in one go, nodes without use for a check are left out, as ``quick_reader`` tells."""
     names = tuple(FIELDS) if fields is None else fields
-    ready = with_status(docs.select("doc_id", "text")).where("scan_status = 'scanned'").select("doc_id", "text")
+    ready = with_status(docs.select("doc_id", "text", *carry)).where("scan_status = 'scanned'").select("doc_id", "text", *carry)
     ready = dealt(ready) if deal else ready
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f, field_type(f)) for f in names)])
+    schema = T.StructType([*(docs.schema[c] for c in ("doc_id", *carry)), *(T.StructField(f, field_type(f)) for f in names)])
     kinds = [_arrow_type(f) for f in names]
     wanted = None if types is None else frozenset(types)
 
-    def rows_of(sheet: Sheet, ids: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(sheet.numbers(), pa.int32())), *(pa.array(sheet.column(f), k) for f, k in zip(names, kinds, strict=True))], names=["doc_id", *names])
+    def rows_of(sheet: Sheet, ids: pa.RecordBatch) -> pa.RecordBatch:
+        owners = pa.array(sheet.numbers(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(c.take(owners) for c in ids.columns), *(pa.array(sheet.column(f), k) for f, k in zip(names, kinds, strict=True))], names=["doc_id", *carry, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sheet, first, chars = batch.column(0), Sheet(wanted, marks, names, names, outside, external), 0, 0
+            ids, sheet, first, chars = batch.select([0, *range(2, batch.num_columns)]), Sheet(wanted, marks, names, names, outside, external), 0, 0
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
                 sheet.add(text)

@@ -198,3 +198,26 @@ def test_outcomes_need_no_messages(spark, monkeypatch):
     assert set(rows) == {"fixed", "skipped", "none"}
     [(what, columns, plan)] = written
     assert (what, columns) == ("findings", ["doc_id", "check", "line"]) and "in prose" not in plan
+
+
+def test_lines_are_read_without_attributes(monkeypatch):
+    """Texts of usual parts make no parts of lines with attributes, of which most get no row; no row is made to be taken out again."""
+    monkeypatch.setattr(markdown, "quick_parts", None)
+    sheet = markdown.Sheet(frozenset(t for need in checks.NEEDS.values() for t in need[0]), checks.ADDRESS_MARKS, markdown.QUICK_FIELDS, None, checks.LINKISH, checks.EXTERNAL)
+    sheet.add("# A\n\nsee [x][t1] ![](http://i/j) www.q <http://a.b/c>\n\n[t1]: https://x.y/t\n\n[b](#a) [c](#d)\n")
+    rows = list(zip(*map(sheet.column, ("node_id", "type", "start_line", "start_col", "url", "alt", "text_content")), strict=True))
+    assert rows == [(0, "root", 1, 1, None, None, None), (1, "heading", 1, 1, None, None, "A"), (8, "image", 3, 13, "http://i/j", "", ""), (9, "text", 3, 28, None, None, " www.q "), (17, "link", 7, 9, "#d", None, None)]
+
+
+def test_targets_meet_paths_in_one_pass(spark, monkeypatch):
+    """Nodes carry their document's path: targets meet the manifest and the linked documents once, and are written down with what is known of them."""
+    written, kept = {}, checks.settled
+    monkeypatch.setattr(checks, "settled", lambda df, what: written.update({what: df}) or kept(df, what))
+    texts = {"/c/a.md": "# A\n\n[l](#a) [m](#no) [n](b.md#B) [o](b.md#x) [p](gone.md#y) [q](b.md) [r](d.md#z)\n", "/c/b.md": "# B\n", "/c/d.md": "\0"}
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(texts.items())], "doc_id int, path string, text string")
+    found = checks.check_documents(docs, manifest=docs.select("path"))
+    assert sorted((r["doc_id"], r["check"], r["column"]) for r in found.collect()) == [(0, "anchor-missing", 9), (0, "anchor-missing", 18), (0, "anchor-missing", 30), (0, "file-missing", 42), (2, "doc-unreadable", 1)]
+    assert "path" in written["nodes"].columns and set(written) == {"nodes", "targets", "anchors"}
+    assert _plan(written["targets"]).partition("== Initial Plan ==")[0].count("Join") == 2
+    asked = {r["column"]: (r["kind"], r["exists"], r["target_id"]) for r in written["targets"].withColumnRenamed("start_col", "column").collect()}
+    assert asked == {9: ("local", None, 0), 18: ("relative", True, 1), 30: ("relative", True, 1), 42: ("relative", None, None), 57: ("relative", True, None), 67: ("relative", True, None)}
