@@ -221,3 +221,12 @@ def test_targets_meet_paths_in_one_pass(spark, monkeypatch):
     assert _plan(written["targets"]).partition("== Initial Plan ==")[0].count("Join") == 2
     asked = {r["column"]: (r["kind"], r["exists"], r["target_id"]) for r in written["targets"].withColumnRenamed("start_col", "column").collect()}
     assert asked == {9: ("local", None, 0), 18: ("relative", True, 1), 30: ("relative", True, 1), 42: ("relative", None, None), 57: ("relative", True, None), 67: ("relative", True, None)}
+
+
+def test_lines_are_scanned_from_mark_to_mark(monkeypatch):
+    """A line's text is not searched character by character, and a link to a heading as it is written needs no anchors of all headings."""
+    monkeypatch.setattr(markdown, "QUICK", None)
+    monkeypatch.setattr(markdown, "own_anchors", None)
+    sheet = markdown.Sheet(frozenset(t for need in checks.NEEDS.values() for t in need[0]), checks.ADDRESS_MARKS, markdown.QUICK_FIELDS, None, checks.LINKISH, checks.EXTERNAL)
+    sheet.add("# A b\n\n## Details\n\nto [d](#details) or [e](f.md) (g).\n")
+    assert list(zip(sheet.column("type"), sheet.column("start_col"))) == [("root", 1), ("heading", 1), ("heading", 1), ("link", 21)]
